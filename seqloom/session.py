@@ -33,7 +33,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes that ``df`` reads (file sizes for scans)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def local_session(app: str = "seqloom", cpus: int = 8, memory: str = "12g") -> SparkSession:
