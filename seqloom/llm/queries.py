@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.llm import chat_format, quality_rules, url_filter
+from seqloom.llm import chat_format, html_extract, packing, pii, quality_rules, substring_dedup, url_filter
 from seqloom.session import read_table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -39,6 +40,24 @@ FROM t GROUP BY conv_id
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
+
+
+OP3_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+w AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS gram
+  FROM d, unnest(range(1, greatest(len(words) - 48, 1))) AS u(i)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) < doc_id AS later FROM w),
+c AS (SELECT DISTINCT doc_id, i + k AS at FROM f, range(50) AS v(k) WHERE later),
+k AS (SELECT d.doc_id, string_agg(words[p], ' ' ORDER BY p) AS kept, count(*) AS n
+  FROM d, unnest(range(1, len(words) + 1)) AS u(p) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = d.doc_id AND c.at = p)
+  GROUP BY d.doc_id)
+SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.judge(docs).drop("text", "lang", "source")
@@ -102,9 +121,45 @@ j AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM j WHERE n = 1
 """
 
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extract(read_table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(read_table(spark, sf_dir, "documents")))
+
+
+def tokenizer_files() -> dict[str, str]:
+    """Where the public vocabulary files are."""
+    import public_tokenizers
+
+    return {
+        "vocabulary": public_tokenizers.path("byte_bpe_50k.json"),
+        "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        "pattern": public_tokenizers.PATTERN,
+    }
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), **tokenizer_files())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_html_extract": op5_html_extract,
+    "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
+    "op9_packing": op9_packing,
+}
+ORACLE_SQL = {
+    "op1_chat_format": OP1_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op7_url_filter": OP7_SQL,
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": OP4_SQL, "op7_url_filter": OP7_SQL}
