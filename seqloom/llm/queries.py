@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat_format, html_extract, packing, pii, quality_rules, substring_dedup, url_filter
+from seqloom.llm import chat_format, html_extract, jaccard_join, packing, pii, quality_rules, substring_dedup, url_filter
 from seqloom.session import read_table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -132,6 +132,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(read_table(spark, sf_dir, "documents")))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def tokenizer_files() -> dict[str, str]:
     """Where the public vocabulary files are."""
     import public_tokenizers
@@ -155,6 +159,7 @@ QUERIES = {
     "op5_html_extract": op5_html_extract,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL = {
