@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat_format, html_extract, jaccard_join, packing, pii, quality_rules, substring_dedup, url_filter
+from seqloom.llm import chat_format, decontaminate, html_extract, jaccard_join, packing, pii, quality_rules, substring_dedup, url_filter
 from seqloom.session import read_table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -152,6 +152,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_substring_dedup": op3_substring_dedup,
@@ -161,6 +165,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
