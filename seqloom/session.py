@@ -49,3 +49,19 @@ def local_session(app: str = "seqloom", cpus: int = 8, memory: str = "12g") -> S
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read again.
+
+    Smaller than a checkpoint for wide rows; the table stays there until the folder is cleaned.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        checkpointed(spark.range(0))  # sets the folder
+    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
