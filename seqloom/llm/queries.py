@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat_format, decontaminate, html_extract, jaccard_join, packing, pii, quality_rules, substring_dedup, url_filter
+from seqloom.llm import chat_format, decontaminate, html_extract, jaccard_join, lm_score, packing, pii, quality_rules, substring_dedup, url_filter
 from seqloom.session import read_table
 
 WORDS_SQL = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -40,6 +40,10 @@ FROM t GROUP BY conv_id
 """
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")))
 
@@ -158,6 +162,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_lm_score": op2_lm_score,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_html_extract": op5_html_extract,

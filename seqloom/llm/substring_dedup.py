@@ -34,7 +34,7 @@ from seqloom.session import input_bytes
 WIDTH = 50
 ANCHOR = 8
 BLOCK_WINDOWS = 1 << 20
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 64
 
 _U = np.uint64
