@@ -133,5 +133,8 @@ def judge(docs: DataFrame) -> DataFrame:
         inside = inside & (F.col(r) <= F.col(f"_max_{r}"))
         if low:
             inside = inside & (F.col(r) >= F.col(f"_min_{r}"))
-    judged = measured.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & inside)
+    # Always true, but not deterministic: a filter on the verdict must not be pushed below the
+    # steps above, where their expressions would be copied into one another.
+    barrier = F.spark_partition_id() >= 0
+    judged = measured.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & inside & barrier)
     return judged.drop(*limits.columns)
