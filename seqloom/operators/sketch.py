@@ -34,6 +34,7 @@ class Sketch:
     want_super_kmers: bool = False
     want_values: bool = False
     want_skip: bool = False
+    want_strings: bool = False
 
     def __post_init__(self) -> None:
         if self.k < 1 or not 0 < self.w < MAX_W:
@@ -48,6 +49,8 @@ class Sketch:
             raise ValueError("canonical sampling needs a canonical hasher")
         if self.want_super_kmers and self.select not in ("minimizer",):
             raise ValueError("super-k-mers belong to minimizers")
+        if self.want_strings and not self.want_super_kmers:
+            raise ValueError("strings are those of super-k-mers")
         if self.want_skip and (not self.canonical or self.want_super_kmers):
             raise ValueError("skipping ambiguous windows is for canonical sampling without super-k-mers")
         if self.want_values and (self.value_length > 63 or (self.hash and self.hash.alphabet != "dna")):
@@ -73,6 +76,10 @@ class Sketch:
         """Adds ``sk_start`` and ``sk_end``: the letters covered by windows that share a minimizer."""
         return replace(self, want_super_kmers=True)
 
+    def with_strings(self) -> Sketch:
+        """Adds ``super_kmer``, the letters from ``sk_start`` to ``sk_end``; arrow strategy only."""
+        return replace(self, want_strings=True)
+
     def with_values(self) -> Sketch:
         """Adds ``value``: 2 bits a base; long up to 31 bases, else decimal(38,0)."""
         return replace(self, want_values=True)
@@ -95,11 +102,11 @@ class Sketch:
 
     def columns(self) -> list[str]:
         base = ["win", "pos"] if self.select == "window" else ["ord", "pos"]
-        return base + ["sk_start", "sk_end"] * self.want_super_kmers + ["value"] * self.want_values
+        return base + ["sk_start", "sk_end"] * self.want_super_kmers + ["value"] * self.want_values + ["super_kmer"] * self.want_strings
 
     def schema(self, df: DataFrame) -> str:
         value = "long" if self.value_length <= 31 else "decimal(38,0)"
-        kinds = [f"{c} {value if c == 'value' else 'long'}" for c in self.columns()]
+        kinds = [f"{c} { {'value': value, 'super_kmer': 'string'}.get(c, 'long') }" for c in self.columns()]
         return ", ".join([f"seq_id {df.schema['seq_id'].dataType.simpleString()}", *kinds])
 
     def run(self, df: DataFrame, strategy: str = "arrow", spread: int | None = None) -> DataFrame:
@@ -110,6 +117,8 @@ class Sketch:
         long sequences; only then is the output shuffled, to number its rows.
         """
         sequences = df.select("seq_id", "seq")
+        if self.want_strings and (strategy != "arrow" or spread is not None):
+            raise ValueError("strings need the arrow strategy and whole sequences; see super_kmer_strings")
         if strategy == "sql":
             return relational.sketch(sequences, self.spec())
         if strategy != "arrow":
