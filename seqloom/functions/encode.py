@@ -54,15 +54,14 @@ def kmer_value(kmer: Column, length: int) -> Column:
         return F.conv(digits, 4, 10).cast("long")
     if length > 63:
         raise ValueError("values of more than 63 bases exceed decimal(38,0); compare digit strings instead")
-    high, low = F.substring(digits, 1, length - 31), F.substring(digits, length - 30, 31)
-    if length - 31 <= 31:
-        top = F.conv(high, 4, 10).cast("decimal(38,0)")
-    else:
-        top = F.conv(F.substring(high, 1, length - 62), 4, 10).cast("decimal(10,0)") * F.lit(4**31).cast("decimal(20,0)") + F.conv(
-            F.substring(high, length - 61, 31), 4, 10
-        ).cast("decimal(20,0)")
-    scaled = top.cast("decimal(19,0)") * F.lit(4**31).cast("decimal(19,0)")
-    return (scaled + F.conv(low, 4, 10).cast("decimal(19,0)")).cast("decimal(38,0)")
+    # Three parts of 21 bases (42 bits); their weighted sum fits 38 digits.
+    total = F.lit(0).cast("decimal(38,0)")
+    for part in range(-(-length // 21)):
+        end = length - 21 * part
+        start = max(end - 21, 0)
+        number = F.conv(F.substring(digits, start + 1, end - start), 4, 10).cast("decimal(13,0)")
+        total = (total + number * F.lit(str(4 ** (21 * part))).cast("decimal(26,0)")).cast("decimal(38,0)")
+    return total
 
 
 def canonical_value(kmer: Column, length: int) -> Column:

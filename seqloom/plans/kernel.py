@@ -236,8 +236,7 @@ def run_batches(batches: Iterator[pa.RecordBatch], spec: Spec, columns: list[str
                 if c == "super_kmer":
                     at = starts[out["row"]]
                     spans = zip((at + out["win"]).tolist(), (at + out["sk_end"]).tolist(), strict=True)
-                    raw = data.tobytes()
-                    arrays.append(pa.array([raw[a:b] for a, b in spans], pa.binary()).cast(pa.string()))
+                    arrays.append(pa.array([data[a:b].tobytes() for a, b in spans], pa.binary()).cast(pa.string()))
                     continue
                 arrays.append(arrow_value(out["value"], spec.value_length) if c == "value" else pa.array(out[source], pa.int64()))
             yield pa.record_batch(arrays, names=["seq_id", *columns])

@@ -19,9 +19,9 @@ def random_sequences(spark: SparkSession, n: int, length: int, seed: int = 0, le
     return spark.range(n).select(F.col("id").alias("seq_id"), F.array_join(F.transform(places, letter), "").alias("seq"))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Timing records from JSON (an array or lines)."""
-    return spark.read.schema(RESULTS).option("multiLine", True).json(path)
+def read_results(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Timing records from JSON: lines of records or of arrays; ``multi_line`` for one array over many lines."""
+    return spark.read.schema(RESULTS).option("multiLine", multi_line).json(path)
 
 
 def write_results(rows: DataFrame, path: str) -> None:

@@ -1,0 +1,55 @@
+import gzip
+
+from seqloom.functions import sql
+from seqloom.operators import sketch as S
+from seqloom.sources import fasta, generate
+from seqloom.streaming import stream
+
+
+def test_fasta(spark, tmp_path):
+    path = tmp_path / "a.fa"
+    path.write_text(">one first record\nACGT\nACG\n\n>two\r\nGG TT\r\n>three\n")
+    rows = [(r["name"], r["seq"]) for r in fasta.read_fasta(spark, str(path)).orderBy("seq_id").collect()]
+    assert rows == [("one", "ACGTACG"), ("two", "GGTT"), ("three", "")]
+    assert fasta.read_fasta(spark, str(path), limit=2).count() == 2
+    with gzip.open(tmp_path / "b.fa.gz", "wt") as f:
+        f.write(">z\nAC\n")
+    assert fasta.read_fasta(spark, str(tmp_path / "b.fa.gz")).first()["seq"] == "AC"
+    assert fasta.read_fasta(spark, str(tmp_path / "none.fa")).count() == 0
+    fasta.write_fasta(fasta.read_fasta(spark, str(path)), str(tmp_path / "out"))
+    back = {(r["name"], r["seq"]) for r in fasta.read_fasta(spark, str(tmp_path / "out")).collect()}
+    assert back == set(rows)
+
+
+def test_fastq(spark, tmp_path):
+    path = tmp_path / "a.fq"
+    path.write_text("@r1 x\nACGT\n+\n@@@@\n@r2\nGG\n+\nII\n")
+    rows = [(r["name"], r["seq"]) for r in fasta.read_fastq(spark, str(path)).orderBy("seq_id").collect()]
+    assert rows == [("r1", "ACGT"), ("r2", "GG")]
+    assert fasta.read_fastq(spark, str(tmp_path / "none.fq")).count() == 0
+
+
+def test_random_sequences(spark):
+    a = [r["seq"] for r in generate.random_sequences(spark, 5, 100, seed=1).orderBy("seq_id").collect()]
+    assert a == [r["seq"] for r in generate.random_sequences(spark, 5, 100, seed=1).orderBy("seq_id").collect()]
+    assert all(len(s) == 100 and set(s) <= set("ACGT") for s in a) and len(set(a)) == 5
+    assert generate.random_sequences(spark, 2, 0).first()["seq"] == ""
+
+
+def test_sql_functions(spark):
+    sql.register(spark)
+    spark.createDataFrame([(1, "ACGTGCTCAGAGACTCAGAGGA"), (2, None)], "id long, seq string").createOrReplaceTempView("reads")
+    rows = spark.sql("SELECT id, minimizer_positions(seq, 5, 7, true) AS p, closed_syncmer_positions(seq, 5, 7, false) AS c FROM reads ORDER BY id").collect()
+    assert rows[0]["p"] == [0, 7, 9, 15] and rows[0]["c"] == [4, 5, 7] and rows[1]["p"] is None
+    rows = spark.sql("SELECT id, m.pos, m.sk_start FROM reads, LATERAL minimizers(seq, 5, 7, true) AS m ORDER BY m.ord").collect()
+    assert [(r["pos"], r["sk_start"]) for r in rows] == [(0, 0), (7, 1), (9, 8), (15, 9)]
+    assert spark.sql("SELECT revcomp('AACG') AS r").first()["r"] == "CGTT"
+
+
+def test_streaming(spark, tmp_path):
+    rows = [(1, "ACGTGCTCAGAGACTCAGAGGA"), (2, "ACG")]
+    spark.createDataFrame(rows, "seq_id long, seq string").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("seq_id long, seq string").parquet(str(tmp_path / "in"))
+    found = stream.sketch_stream(source, S.canonical_minimizers(5, 7))
+    stream.write_available(found, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["pos"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 7, 9, 15]
