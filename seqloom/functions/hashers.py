@@ -11,6 +11,7 @@ A canonical hash adds the two strands' hashes modulo the word size.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -34,6 +35,51 @@ def seed_mask(seed: int, code: int) -> int:
     return (seed * SEED_STEP + code * CODE_STEP) & 0xFFFFFFFF if seed else 0
 
 
+#: Letters handled at once: small enough for the caches of a core.
+BLOCK = 1 << 15
+
+
+@functools.cache
+def _tables(terms: tuple[int, ...], rotation: int, bits: int, alphabet: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each place modulo the word size and each letter: its term turned for P, its complement's for Q."""
+    kind, mask = np.uint32 if bits == 32 else np.uint64, (1 << bits) - 1
+
+    def rotl(x: int, r: int) -> int:
+        return (x << r % bits | x >> (bits - r % bits)) & mask
+
+    other = [terms[c ^ 2] for c in range(4)] if alphabet == "dna" else terms
+    forward = [rotl(t, -rotation * j) for j in range(bits) for t in terms]
+    backward = [rotl(t, rotation * j) for j in range(bits) for t in other]
+    return np.array(forward, kind), np.array(backward, kind)
+
+
+@functools.lru_cache(64)
+def _grown(kind: str, letters: int, rotation: int, bits: int, size: int) -> tuple[np.ndarray, ...]:
+    if kind == "offsets":
+        return (np.resize(np.arange(bits) * letters, size),)
+    word = np.uint32 if bits == 32 else np.uint64
+    left = np.resize(np.arange(bits) * rotation % bits, size)
+    return left.astype(word), ((bits - left) % bits).astype(word)
+
+
+def _offsets(letters: int, rotation: int, bits: int, n: int) -> np.ndarray:
+    """Where the table row of each place starts."""
+    return _grown("offsets", letters, rotation, bits, 1 << n.bit_length())[0][:n]
+
+
+def _turns(rotation: int, bits: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far each place is turned left, and right."""
+    return _grown("turns", 0, rotation, bits, 1 << n.bit_length())
+
+
+def _turned(x: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``x`` rotated left by ``left``, which with ``right`` makes a whole turn (or both are 0)."""
+    y = x << left
+    x >>= right
+    y |= x
+    return y
+
+
 @dataclass(frozen=True)
 class Hasher:
     """A rolling hash by per-letter terms, or a hash of its own by ``direct``.
@@ -61,11 +107,6 @@ class Hasher:
         """The other strand's letters; text has no complement and is only read backwards."""
         return letters ^ 2 if self.alphabet == "dna" else letters
 
-    def _rotl(self, x: np.ndarray, r: np.ndarray) -> np.ndarray:
-        t, bits = x.dtype.type, self.bits
-        r = r.astype(x.dtype)
-        return (x << r) | (x >> ((t(bits) - r) % t(bits)))
-
     def hashes(self, letters: np.ndarray) -> np.ndarray:
         """One hash per k-mer, unsigned."""
         n, k = len(letters) - self.k + 1, self.k
@@ -78,15 +119,20 @@ class Hasher:
                 return forward
             backward = self.direct(self.complement(letters)[::-1], k)[::-1]
             return forward + backward
-        at = np.arange(len(letters) + 1, dtype=np.int64) * self.rotation % self.bits
-        table = np.array(self.terms, kind)
+        if n > 2 * BLOCK:
+            return np.concatenate([self.hashes(letters[a : min(a + BLOCK, n) + k - 1]) for a in range(0, n, BLOCK)])
+        index = letters + _offsets(len(self.terms), self.rotation, self.bits, len(letters))
         scan = np.zeros(len(letters) + 1, kind)
-        np.bitwise_xor.accumulate(self._rotl(table[letters], -at[:-1] % self.bits), out=scan[1:])
-        forward = self._rotl(scan[k:] ^ scan[:-k], at[k - 1 : k - 1 + n])
+        tables = _tables(self.terms, self.rotation, self.bits, self.alphabet)
+        np.bitwise_xor.accumulate(tables[0][index], out=scan[1:])
+        left, right = _turns(self.rotation, self.bits, n + k)
+        forward = _turned(scan[k:] ^ scan[:-k], left[k - 1 : k - 1 + n], right[k - 1 : k - 1 + n])
         if not self.canonical:
             return forward
-        np.bitwise_xor.accumulate(self._rotl(table[self.complement(letters)], at[:-1]), out=scan[1:])
-        return forward + self._rotl(scan[k:] ^ scan[:-k], -at[:n] % self.bits)
+        np.bitwise_xor.accumulate(tables[1][index], out=scan[1:])
+        backward = _turned(scan[k:] ^ scan[:-k], right[:n], left[:n])
+        backward += forward
+        return backward
 
     def order(self, letters: np.ndarray) -> np.ndarray:
         """Numbers below 2**32 that compare as the hashes do."""

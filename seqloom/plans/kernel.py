@@ -15,10 +15,12 @@ import numpy as np
 import pyarrow as pa
 
 from seqloom.functions.encode import CODES
-from seqloom.functions.hashers import Hasher
+from seqloom.functions.hashers import BLOCK, Hasher
 
 PIECE = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
+_HIGH16, _LOW16 = np.uint32(0xFFFF0000), np.uint32(0xFFFF)
+_PLACE = np.arange(1 << 16, dtype=np.uint32)
 
 
 @dataclass(frozen=True)
@@ -41,18 +43,15 @@ class Spec:
 
 
 def sliding_extreme(keys: np.ndarray, w: int, largest: bool = False) -> np.ndarray:
-    """Minimum (or maximum) of every ``w`` neighbours."""
-    n = len(keys) - w + 1
-    if n <= 0:
+    """Minimum (or maximum) of every ``w`` neighbours, by doubling the width."""
+    if len(keys) < w:
         return keys[:0]
-    best = np.maximum if largest else np.minimum
-    blocks = -(-len(keys) // w)
-    padded = np.full(blocks * w, 0 if largest else np.iinfo(keys.dtype).max, keys.dtype)
-    padded[: len(keys)] = keys
-    padded = padded.reshape(blocks, w)
-    prefix = best.accumulate(padded, axis=1).ravel()
-    suffix = best.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(suffix[:n], prefix[w - 1 : w - 1 + n])
+    best, size = np.maximum if largest else np.minimum, 1
+    while 2 * size <= w:
+        keys = best(keys[:-size], keys[size:])
+        size *= 2
+    rest = w - size
+    return best(keys[:-rest], keys[rest:]) if rest else keys
 
 
 def leftmost(order: np.ndarray, w: int) -> np.ndarray:
@@ -68,21 +67,41 @@ def rightmost(order: np.ndarray, w: int) -> np.ndarray:
 
 
 def window_sums(flags: np.ndarray, length: int) -> np.ndarray:
-    sums = np.zeros(len(flags) + 1, np.int64)
+    sums = np.zeros(len(flags) + 1, np.int32)
     np.cumsum(flags, out=sums[1:])
     return sums[length:] - sums[:-length]
 
 
-def windows(letters: np.ndarray, ambiguous: np.ndarray | None, spec: Spec) -> tuple[np.ndarray, np.ndarray | None]:
-    """Chosen position of every window, and which windows are clean (None: all)."""
-    order = spec.hasher.order(letters)
-    if spec.canonical:
-        strand = 2 * window_sums((letters & 2) != 0, spec.length) > spec.length
-        chosen = np.where(strand, leftmost(order, spec.w), rightmost(order, spec.w))
-    else:
-        chosen = (rightmost if spec.rightmost else leftmost)(order, spec.w)
-    clean = window_sums(ambiguous, spec.length) == 0 if ambiguous is not None else None
-    return chosen, clean
+def windows(letters: np.ndarray, spec: Spec) -> np.ndarray:
+    """Chosen position of every window, in blocks that fit a core's caches.
+
+    Of hashes whose upper 16 bits count, hash and place in the block make one 32-bit key.
+    """
+    n = len(letters) - spec.length + 1
+    if n <= 0:
+        return np.empty(0, np.uint32)
+    chosen = np.empty(n, np.uint32)
+    for a in range(0, n, BLOCK):
+        b = min(a + BLOCK, n)
+        part = letters[a : b + spec.length - 1]
+        left = right = None
+        if spec.hasher.top16:
+            h = spec.hasher.hashes(part)
+            if spec.canonical or not spec.rightmost:
+                left = sliding_extreme((h & _HIGH16) | _PLACE[: len(h)], spec.w) & _LOW16
+            if spec.canonical or spec.rightmost:
+                right = sliding_extreme((~h & _HIGH16) | _PLACE[: len(h)], spec.w, largest=True) & _LOW16
+        else:
+            order = spec.hasher.order(part)
+            left = leftmost(order, spec.w) if spec.canonical or not spec.rightmost else None
+            right = rightmost(order, spec.w) if spec.canonical or spec.rightmost else None
+        if spec.canonical:
+            strand = window_sums(part & 2, spec.length) > spec.length
+            best = np.where(strand, left, right)
+        else:
+            best = right if spec.rightmost else left
+        np.add(best, a, out=chosen[a:b], casting="unsafe")
+    return chosen
 
 
 def values(letters: np.ndarray, positions: np.ndarray, length: int, canonical: bool) -> list[int] | np.ndarray:
@@ -145,31 +164,34 @@ def sketch(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, spec: Spec
                 letters = np.where(ambiguous, raw >> 1 & 3, letters)
         else:
             letters, ambiguous = raw, np.zeros(len(raw), bool)
-        chosen, clean = windows(letters, ambiguous if spec.skip_ambiguous else None, spec)
+        chosen = windows(letters, spec)
         n_windows = len(chosen)
-        owner = np.repeat(np.arange(len(sizes)), sizes)[:n_windows]
-        ends = np.cumsum(sizes)[owner] if n_windows else owner
-        valid = np.arange(n_windows) + spec.length <= ends
-        if clean is not None:
-            valid &= clean
-        win = np.flatnonzero(valid)
-        pos, own = chosen[win], owner[win]
-        begin = (np.cumsum(sizes) - sizes)[own]
+        begins = np.cumsum(sizes) - sizes
+        # The last windows before each sequence's end would span two sequences.
+        valid = np.ones(n_windows, bool)
+        for stop in np.cumsum(sizes).tolist():
+            valid[max(stop - spec.length + 1, 0) : stop] = False
+        if spec.skip_ambiguous:
+            valid &= window_sums(ambiguous, spec.length)[:n_windows] == 0
         known, last = carry.get(a, (0, -1)) if end >= 0 else (0, -1)
         if spec.select == "minimizer":
-            local = pos - begin + offset
-            before = np.r_[last, local][: len(local)]
-            same = np.r_[end >= 0, own[1:] == own[:-1]] if len(win) else np.zeros(0, bool)
-            keep = ~same | (local != before)
-            if len(win) and end >= 0:
-                last = int(local[-1])
-        elif spec.select == "closed":
-            keep = (pos == win) | (pos == win + spec.w - 1)
-        elif spec.select == "open":
-            keep = pos == win + spec.w // 2
+            # A window after an invalid one never repeats the one before that.
+            fresh = np.ones(n_windows, bool)
+            np.not_equal(chosen[1:], chosen[:-1], out=fresh[1:])
+            fresh[1:] |= ~valid[:-1]
+            if end >= 0 and n_windows:
+                fresh[0] = int(chosen[0]) + offset != last
+                last = int(chosen[-1]) + offset if valid[-1] else -1
+            keep = valid & fresh
+        elif spec.select == "window":
+            keep = valid
         else:
-            keep = np.ones(len(win), bool)
-        win, pos, own, begin = win[keep], pos[keep], own[keep], begin[keep]
+            ahead = chosen - np.arange(n_windows, dtype=np.uint32)
+            keep = valid & ((ahead == spec.w // 2) if spec.select == "open" else (ahead == 0) | (ahead == spec.w - 1))
+        win = np.flatnonzero(keep)
+        pos = chosen[win].astype(np.int64)
+        own = np.searchsorted(begins, win, "right") - 1
+        begin = begins[own]
         sampled = win if spec.select in ("closed", "open") else pos
         first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
         index = np.arange(len(own))
