@@ -16,7 +16,7 @@ from seqloom.functions import encode, hashers
 from seqloom.operators import sketch as S
 from seqloom.operators import sliding, stats, streams
 from seqloom.sources import generate
-from seqloom.session import read_table
+from seqloom.session import parallel, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,12 +25,12 @@ ORACLE_SQL: dict[str, str] = {}
 
 def sequences(spark: SparkSession, sf_dir: str, keep_n: bool = False) -> DataFrame:
     """The DNA projection of the documents, with their language."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = parallel(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     return docs.select(F.col("doc_id").alias("seq_id"), encode.dna_only(F.coalesce("text", F.lit("")), keep_n).alias("seq"), "lang")
 
 
 def ascii_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = parallel(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.select(F.col("doc_id").alias("seq_id"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E]", "").alias("seq"))
 
 
@@ -291,6 +291,16 @@ def count_moments_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("mean", "variance", "std_dev")})
 
 
+POSITIONS_SQL = oracle.sketch().rsplit("SELECT", 1)[0] + """SELECT seq_id, count(p.pos) AS n,
+  coalesce(string_agg(p.pos, ',' ORDER BY p.pos), '') AS positions FROM seqs LEFT JOIN picked p USING (seq_id) GROUP BY seq_id"""
+
+
+@query("position_arrays", POSITIONS_SQL)
+def position_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.minimizers(21, 11).run_arrays(sequences(spark, sf_dir))
+    return found.select("seq_id", F.size("pos").cast("long").alias("n"), F.array_join(F.col("pos").cast("array<string>"), ",").alias("positions"))
+
+
 @query("position_checksum", oracle.sketch("CAST(sum(pos) AS BIGINT) AS checksum, count(*) AS n"))
 def position_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.minimizers(21, 11).run(sequences(spark, sf_dir))

@@ -132,6 +132,23 @@ class Sketch:
 
         return sequences.mapInArrow(run, self.schema(df))
 
+    def run_arrays(self, df: DataFrame) -> DataFrame:
+        """``seq_id`` and an array per column asked for: one row per sequence, empty arrays included.
+
+        The cheapest form where positions outnumber what a row costs: a row per position is not made.
+        """
+        if self.want_strings:
+            raise ValueError("strings come as rows")
+        spec, columns = self.spec(), [c for c in self.columns() if c != "ord"]
+        value = "long" if self.value_length <= 31 else "decimal(38,0)"
+        kinds = [f"{c} array<{value if c == 'value' else 'bigint'}>" for c in columns]
+        schema = ", ".join([f"seq_id {df.schema['seq_id'].dataType.simpleString()}", *kinds])
+
+        def run(batches):
+            return kernel.run_array_batches(batches, spec, columns)
+
+        return df.select("seq_id", "seq").mapInArrow(run, schema)
+
     def _run_spread(self, sequences: DataFrame, size: int) -> DataFrame:
         """Each chunk owns ``size`` windows and reads one more on the left, to see repeats."""
         spec = replace(self.spec(), super_kmers=False)

@@ -262,3 +262,24 @@ def run_batches(batches: Iterator[pa.RecordBatch], spec: Spec, columns: list[str
                     continue
                 arrays.append(arrow_value(out["value"], spec.value_length) if c == "value" else pa.array(out[source], pa.int64()))
             yield pa.record_batch(arrays, names=["seq_id", *columns])
+
+
+def run_array_batches(batches: Iterator[pa.RecordBatch], spec: Spec, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """One row per sequence, with an array for each wanted column."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        data, starts, lengths = letters_of(batch.column(1))
+        parts = list(sketch(data, starts, lengths, spec))
+        rows = np.concatenate([np.empty(0, np.int64), *(p["row"] for p in parts)])
+        offsets = np.zeros(len(batch) + 1, np.int32)
+        np.cumsum(np.bincount(rows, minlength=len(batch)), out=offsets[1:])
+        arrays = [batch.column(0)]
+        for c in columns:
+            source = "win" if c == "sk_start" else c
+            if c == "value" and spec.value_length > 31:
+                flat = arrow_value([v for p in parts for v in p["value"]], spec.value_length)
+            else:
+                flat = pa.array(np.concatenate([np.empty(0, np.int64), *(p[source] for p in parts)]), pa.int64())
+            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), flat))
+        yield pa.record_batch(arrays, names=["seq_id", *columns])

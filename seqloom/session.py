@@ -36,6 +36,15 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def parallel(df: DataFrame, key: str) -> DataFrame:
+    """``df``, dealt out by ``key`` if it has fewer partitions than the cluster has cores.
+
+    So a table of one small file is not the work of one task; an input of many splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_session(app: str = "seqloom", cpus: int = 8, memory: str = "12g") -> SparkSession:
     """A ``local[cpus]`` session with the settings the tests and the bench use."""
     return (

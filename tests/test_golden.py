@@ -97,3 +97,11 @@ def test_illegal_combinations():
     ):
         with pytest.raises(ValueError):
             build()
+
+
+def test_arrays(spark, df):
+    found = {r["seq_id"]: r for r in S.canonical_minimizers(5, 7).super_kmers().with_values().run_arrays(df).collect()}
+    assert found[2]["pos"] == [0, 7, 9, 15] and found[2]["value"] == [721, 817, 307, 817] and found[2]["sk_end"] == [11, 18, 19, 22]
+    assert found[4]["pos"] == [] == found[5]["pos"] == found[6]["pos"]
+    wide = S.minimizers(33, 1).with_values().run_arrays(spark.createDataFrame([(1, "ACGTT" * 7), (2, "A")], SCHEMA)).collect()
+    assert [len(r["value"]) for r in sorted(wide)] == [3, 0]
