@@ -32,8 +32,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that ``df`` reads (file sizes for scans)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """About how many bytes ``df`` holds: Catalyst's estimate, or a full split per partition if that is less.
+
+    The estimate is the file sizes for scans, but unknown (as huge) for other sources and joins.
+    """
+    guess = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return min(guess, df.rdd.getNumPartitions() * int(split))
 
 
 def parallel(df: DataFrame, key: str) -> DataFrame:
