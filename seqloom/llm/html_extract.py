@@ -3,8 +3,8 @@
 A page becomes a sequence of tokens: words and tags.  Words score positive and tags negative;
 how much is learned from labelled pages, those that mark their article themselves: the weight of
 a kind of token is the log-odds of meeting it inside rather than outside the article.
-Words in links and in marked side content (menus, adverts, comments, ...) are kinds of their
-own.  A linear scan (Kadane's) finds the contiguous region of the highest total, and its
+Words in links are a kind of their own, and words in marked side content (menus, adverts, comments, ...)
+count nothing: they are left out in any case, so only the tags around them matter.  A linear scan (Kadane's) finds the contiguous region of the highest total, and its
 words, without those of marked side content, are the text.
 
 Training reads at most about ``TRAIN_PAGES`` labelled pages, drawn by a hash of their rows
@@ -59,9 +59,14 @@ MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 PART = re.compile(r"[A-Za-z]+")
 
 WORD, LINK_WORD, SIDE_WORD = "word", "link word", "side word"
-DEFAULT = {WORD: 1.0, LINK_WORD: -1.0, SIDE_WORD: -2.0}
-DEFAULT_TAG, LEAST = -6.0, 0.05
-#: No word weighs more, so that plain words outside the article don't outweigh the tags between.
+#: Weights of kinds that no labelled page has; tags that occur in running text hardly count.
+DEFAULT = {WORD: 1.0, LINK_WORD: -0.5, SIDE_WORD: 0.0}
+TEXT_TAGS = {
+    *"p br b i u em strong span h1 h2 h3 h4 h5 h6 blockquote pre code ul ol li dl dt dd q cite small sub sup mark s del ins".split(),
+    *"abbr time kbd samp var figure figcaption img picture table thead tbody tfoot tr td th caption hr wbr font center".split(),
+}
+DEFAULT_TEXT_TAG, DEFAULT_TAG, LEAST = -0.2, -6.0, 0.05
+#: No word weighs more, so that words outside the article don't outweigh the tags between, nor side words an article.
 MOST = 1.0
 
 
@@ -77,20 +82,23 @@ def _marks_side(name: str, rest: str) -> bool:
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """``(kind, text, inside)``: a kind of token, its text if it is words, whether an article is open."""
+    """``(kind, text, inside)``: a kind of token, its text if it is words, whether it is in an article.
+
+    Side content inside an article is part of its run of tokens, though not of its text.
+    """
     stack: list[tuple[str, bool]] = []  # (name, opens side content)
     side = link = articles = 0
     for m in TOKEN.finditer(page):
         text = m["text"]
         if text is not None:
             if not text.isspace():
-                yield (SIDE_WORD if side else LINK_WORD if link else WORD), text, articles > 0 and not side
+                yield (SIDE_WORD if side else LINK_WORD if link else WORD), text, articles > 0
             continue
         if m["name"] is None:
             continue
         name = m["name"].lower()
         if m["end"]:
-            kind = "/" + name
+            closes = False
             if name == "a":
                 link = 0
             if name in NESTED and any(n == name for n, _ in stack):
@@ -99,8 +107,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                     side -= s
                     articles -= n in ARTICLE
                     if n == name:
+                        closes = s
                         break
-            yield kind, "", articles > 0 and not side and name not in ARTICLE
+            yield ("side /" if closes else "/") + name, "", articles > 0 and name not in ARTICLE
             continue
         if name == "a":
             link = 1
@@ -113,7 +122,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             opens = _marks_side(name, m["rest"]) and not (name == "header" and articles)
             stack.append((name, opens))
             side += opens
-        yield ("side " + name if opens else name), "", articles > 0 and not side and name not in ARTICLE
+        yield ("side " + name if opens else name), "", articles > 0 and name not in ARTICLE
 
 
 def count_kinds(page: str) -> Counter:
@@ -131,10 +140,23 @@ def weights_from(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     weights = {}
     for kind in {k for k, _ in counts}:
         odds = math.log((counts.get((kind, True), 0) + 0.5) / inside) - math.log((counts.get((kind, False), 0) + 0.5) / outside)
-        weights[kind] = min(max(odds, LEAST), MOST) if kind == WORD else min(odds, -LEAST)
+        if kind == WORD:
+            weights[kind] = min(max(odds, LEAST), MOST)
+        elif kind == LINK_WORD:
+            weights[kind] = max(min(odds, -LEAST), -MOST)
+        else:
+            weights[kind] = 0.0 if kind == SIDE_WORD else min(odds, -LEAST)
     return weights
 
 
+def weight_of(kind: str, weights: dict[str, float]) -> float:
+    if kind in weights:
+        return weights[kind]
+    if kind in DEFAULT:
+        return DEFAULT[kind]
+    return DEFAULT_TEXT_TAG if kind.lstrip("/") in TEXT_TAGS else DEFAULT_TAG
+
+
 def train(pages: DataFrame, bound: int = TRAIN_PAGES) -> dict[str, float]:
     """Weights from about ``bound`` pages that have an article element; {} if there are none."""
     labelled = pages.select("page_id", "html").where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
@@ -166,9 +188,9 @@ def extract_text(page: str, weights: dict[str, float]) -> str:
     for i, (kind, text, _) in enumerate(tokens(page)):
         found.append((kind, text))
         if text:
-            total += weights.get(kind, DEFAULT[kind]) * (len(text.split()) or 1)
+            total += weight_of(kind, weights) * (len(text.split()) or 1)
         else:
-            total += weights.get(kind, DEFAULT_TAG)
+            total += weight_of(kind, weights)
         if total > best:
             best, region = total, (start, i + 1)
         elif total <= 0:

@@ -7,9 +7,10 @@ ASCII and invisible ones vanish; spelled digits become digits; disguised at and
 ``@`` and ``.``.  The patterns run again on the rewritten text, and matches that
 touch a rewritten place are mapped back and added.  All scans are linear in the text.
 
-Defined cases: a null text is empty; null and repeated ids give one row each; a span never
-overlaps another of its kind, and where a disguised span would, the plain one stays; ``find``
-ignores other columns, ``redact`` passes them through.
+Defined cases: a null text is empty; null and repeated ids give one row each; plain spans always
+stay, and a disguised span is added unless a plain one of its kind holds it (one that reaches further, as
+where an invisible character cuts an address, stands beside the plain one); ``find`` ignores other
+columns, ``redact`` passes them through.
 """
 
 from __future__ import annotations
@@ -214,7 +215,7 @@ def find_disguised(text: str) -> list[tuple[int, int, int]]:
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and those with the disguised ones added."""
     base = find_plain(text)
-    extra = [s for s in find_disguised(text) if not any(k == s[1] and a < s[2] and s[0] < b for a, k, b in base)]
+    extra = [s for s in find_disguised(text) if not any(k == s[1] and a <= s[0] and s[2] <= b for a, k, b in base)]
     return base, sorted([*base, *extra]) if extra else base
 
 
