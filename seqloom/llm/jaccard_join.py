@@ -183,7 +183,16 @@ def comparer(similarity: float, shingle: int) -> type:
         def finish(self) -> Iterator[tuple[int, int, int]]:
             """``node, least, n_links``."""
             rows = sorted(self.rows, key=lambda r: r[:2])
-            sets = [shingler.shingles(r[4]) for r in rows]
+            sets = [shingler.shingles(r[5]) for r in rows]
+            # Rows that share an id bring each other's texts: a node is its own set, once.
+            seen, own = set(), []
+            for i, key in enumerate(set_keys(sets)):
+                if key == rows[i][4] and (rows[i][1], key) not in seen:
+                    seen.add((rows[i][1], key))
+                    own.append(i)
+            rows, sets = [rows[i] for i in own], [sets[i] for i in own]
+            if not rows:
+                return
             signature = signatures(sets)
             blocks = np.array([r[0] for r in rows])
             split = int(np.searchsorted(blocks, blocks[-1]))  # 0: one block
@@ -240,14 +249,14 @@ def featured(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``task, block, node, copies, band`` rows: each member once per pair of blocks of its group."""
+    """``task, block, node, copies, band, key`` rows: each member once per pair of blocks of its group."""
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = members.join(sizes, "group").select(
-        "group", "node", "copies", "band", n.alias("n"), F.pmod(F.xxhash64("node"), n).cast("int").alias("block")
+        "group", "node", "copies", "band", "key", n.alias("n"), F.pmod(F.xxhash64("node"), n).cast("int").alias("block")
     )
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     task = F.concat_ws(" ", "group", "band", F.least("block", "other"), F.greatest("block", "other"))
-    return spread.select(task.alias("task"), "block", "node", "copies", "band")
+    return spread.select(task.alias("task"), "block", "node", "copies", "band", "key")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -262,13 +271,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     nodes = checkpointed(
         known.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     )
-    in_bands = nodes.select("node", "copies", F.posexplode("bands").alias("band", "bucket"))
+    in_bands = nodes.select("node", "copies", "key", F.posexplode("bands").alias("band", "bucket"))
     shared = in_bands.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
     stars = in_bands.join(shared, "bucket").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     found = components(stars)
     found = checkpointed(found.union(found.select("root", "root").distinct()).toDF("node", "root"))
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    members = nodes.select("node", "copies").join(found, "node")
+    members = nodes.select("node", "copies", "key").join(found, "node")
     small = sizes.where(F.col("size") <= GIANT).withColumnRenamed("root", "group")
     tasks = _in_blocks(members.withColumn("band", F.lit(-1)).withColumnRenamed("root", "group"), small)
     giant = sizes.where(F.col("size") > GIANT)
@@ -276,11 +285,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         inside = members.join(giant, "root").select("node")
         buckets = shared.select(F.col("bucket").alias("group"), "size")
         in_giant = in_bands.join(inside.distinct(), "node").withColumnRenamed("bucket", "group")
-        tasks = tasks.union(_in_blocks(in_giant.select("group", "node", "copies", "band"), buckets).select(tasks.columns))
-    # A row that shares its id with another text finds both texts; comparing more is harmless.
+        tasks = tasks.union(_in_blocks(in_giant.select("group", "node", "copies", "band", "key"), buckets).select(tasks.columns))
     texts = docs.withColumnRenamed("doc_id", "node")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = tasks.join(texts, "node").select("task", "block", "node", "copies", "band", "text")
+    dealt = tasks.join(texts, "node").select("task", "block", "node", "copies", "band", "key", "text")
     dealt = dealt.repartition(parts, "task").sortWithinPartitions("task")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
