@@ -36,7 +36,7 @@ SKETCH_ACCURACY = 10_000
 BROADCAST_GROUPS = 100_000
 
 #: ratio -> (least width of the quartile distance, whether low values are rejected too)
-RATIOS = {"symbols_pm": (10, False), "dup_lines_pm": (100, False), "word_len_pc": (50, True)}
+RATIOS = {"symbols_pm": (10, False), "dup_lines_pm": (150, False), "word_len_pc": (50, True)}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

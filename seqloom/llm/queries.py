@@ -90,7 +90,7 @@ k AS (
     quantile_disc(word_len_pc, [0.25, 0.75]) AS qw FROM e GROUP BY lang, source),
 f AS (
   SELECT e.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    symbols_pm <= qs[2] + 3 * greatest(qs[2] - qs[1], 10) AND dup_lines_pm <= qd[2] + 3 * greatest(qd[2] - qd[1], 100)
+    symbols_pm <= qs[2] + 3 * greatest(qs[2] - qs[1], 10) AND dup_lines_pm <= qd[2] + 3 * greatest(qd[2] - qd[1], 150)
     AND word_len_pc BETWEEN qw[1] - 3 * greatest(qw[2] - qw[1], 50) AND qw[2] + 3 * greatest(qw[2] - qw[1], 50) AS inside
   FROM e JOIN k ON e.lang IS NOT DISTINCT FROM k.lang AND e.source IS NOT DISTINCT FROM k.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, symbols_pm, dup_lines_pm, word_len_pc,
