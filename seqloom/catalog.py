@@ -224,14 +224,14 @@ SELECT event_id, user_id, row, m.v AS min_value, {sign}m.r AS min_row FROM m {wh
 """
 
 
-def _events(name: str, w: int, ties: str, partial: bool) -> None:
+def _events(name: str, w: int, ties: str, partial: bool, spread: int | None = None) -> None:
     frame = f"{w - 1} PRECEDING AND CURRENT ROW" if partial else f"CURRENT ROW AND {w - 1} FOLLOWING"
     sql = EVENTS_SQL.format(sign="" if ties == "left" else "-", frame=frame, where="" if partial else f"WHERE row <= n - {w}")
 
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-        found = sliding.sliding_min(events, ["user_id"], ["ts", "event_id"], "value", w, ties, partial)
+        found = sliding.sliding_min(events, ["user_id"], ["ts", "event_id"], "value", w, ties, partial, spread)
         return found.select("event_id", "user_id", "row", "min_value", "min_row")
 
 
@@ -239,6 +239,28 @@ _events("sliding_min_events", 4, "left", False)
 _events("sliding_min_rightmost", 4, "right", False)
 _events("sliding_min_partial", 5, "right", True)
 _events("sliding_min_wide", 40, "left", True)
+_events("sliding_min_spread", 6, "left", False, spread=20)
+_events("sliding_min_spread_partial", 35, "right", True, spread=16)
+
+
+@query("column_hash_minimizers", "WITH " + ",\n".join([oracle.dna(), """kmers AS (
+  SELECT seq_id, length(seq) AS n, unnest(range(length(seq) - 4)) AS pos, unnest(list_transform(range(length(seq) - 4), lambda i: md5(substr(seq, CAST(i + 1 AS INTEGER), 5)))) AS h
+  FROM seqs WHERE length(seq) >= 11),
+found AS (SELECT seq_id, n, pos AS win, min({'h': h, 'p': pos}) OVER (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS m FROM kmers),
+chosen AS (SELECT seq_id, n, win, m.p AS pos FROM found WHERE win <= n - 11)""", oracle.select("minimizer", 5, 7)]) + "\nSELECT seq_id, ord, pos FROM picked")
+def column_hash_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliding.hashed_minimizers(sequences(spark, sf_dir), 5, 7, F.md5)
+
+
+DIGITS = "translate(reverse({s}), 'ACTG', '0123')"
+
+
+@query("value_digits", f"""WITH {oracle.dna()},
+p AS (SELECT seq_id, substr(seq, 1, 64) AS k FROM seqs WHERE length(seq) >= 64)
+SELECT seq_id, {DIGITS.format(s='k')} AS digits, least({DIGITS.format(s='k')}, {DIGITS.format(s="translate(reverse(k), 'ACGT', 'TGCA')")}) AS canonical FROM p""")
+def value_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kmers = sequences(spark, sf_dir).where(F.length("seq") >= 64).select("seq_id", encode.slice_bases(F.col("seq"), 0, 64).alias("k"))
+    return kmers.select("seq_id", encode.value_digits(F.col("k")).alias("digits"), encode.value_digits(F.col("k"), True).alias("canonical"))
 
 
 @query("jumping_minimizers", "WITH RECURSIVE " + ",\n".join([oracle.dna(), oracle.bases(), oracle.kmers("nt", 5), oracle.windows(5, 7)]) + """,

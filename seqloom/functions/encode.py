@@ -67,3 +67,14 @@ def kmer_value(kmer: Column, length: int) -> Column:
 def canonical_value(kmer: Column, length: int) -> Column:
     """The smaller of the values of a k-mer and of its reverse complement."""
     return F.least(kmer_value(kmer, length), kmer_value(reverse_complement(kmer), length))
+
+
+def value_digits(kmer: Column, canonical: bool = False) -> Column:
+    """The value of a k-mer of any length as base-4 digits, highest first.
+
+    Strings of one length compare as their values do, so the smaller one is the canonical one.
+    """
+    def digits(c: Column) -> Column:
+        return F.translate(F.reverse(F.upper(c)), LETTERS, "0123")
+
+    return F.least(digits(kmer), digits(reverse_complement(kmer))) if canonical else digits(kmer)

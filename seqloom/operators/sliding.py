@@ -2,46 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.encode import CODES
 from seqloom.functions.hashers import Hasher
+from seqloom.operators.streams import adjacent_dedup
 from seqloom.plans import kernel
+from seqloom.session import checkpointed
 
 #: Up to this width a frame is aggregated directly; wider ones come from block minima.
 DIRECT = 32
 
 
-def sliding_min(
-    df: DataFrame, partition: list[str], order: list[str], value: str, w: int, ties: str = "left", partial: bool = False
-) -> DataFrame:
-    """``df`` with ``row`` (0-based), ``min_value`` and ``min_row`` of a window of ``w`` rows.
+def numbered(df: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``row`` (0-based place in its key) and ``size`` (rows of the key), without one task per key.
 
-    The window starts at the row; rows without a complete one are left out.  With ``partial`` it ends at
-    the row instead, and the first ``w - 1`` windows are shorter.  ``ties`` picks the left or right one
-    of equal values.  Null values never win; a window of nulls has a null minimum.
+    Rows are sorted by range, so a hot key lies in many partitions; each partition numbers its own, and
+    an offset per key and partition (a small table) makes the numbers run through.
     """
-    if w < 1 or ties not in ("left", "right"):
-        raise ValueError("needs w >= 1 and ties left or right")
-    along = Window.partitionBy(*partition).orderBy(*order)
-    rows = df.withColumn("row", F.row_number().over(along).cast("long") - 1)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = df.repartitionByRange(parts, *partition, *order).sortWithinPartitions(*partition, *order)
+    kept = checkpointed(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    counts = kept.groupBy(*partition, "_p").agg(F.count("*").alias("_c"))
+    key = Window.partitionBy(*partition)
+    before = F.sum("_c").over(key.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(partition)],
+        F.col("_p").alias("_q"),
+        F.coalesce(before, F.lit(0)).alias("_o"),
+        F.sum("_c").over(key).alias("size"),
+    )
+    local = F.row_number().over(Window.partitionBy(*partition, "_p").orderBy("_i")).cast("long") - 1
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(partition)] + [F.col("_p") == F.col("_q")]
+    joined = kept.withColumn("_local", local).join(offsets, on)
+    return joined.withColumn("row", F.col("_local") + F.col("_o")).select(*df.columns, "row", "size")
+
+
+def _spread_min(df: DataFrame, partition: list[str], order: list[str], value: str, w: int, ties: str, partial: bool, spread: int) -> DataFrame:
+    """Chunks of ``spread`` rows per key; a chunk also holds the ``w - 1`` rows that its windows reach over."""
+    rows = numbered(df, partition, order)
+    own = F.floor(F.col("row") / spread)
+    reach = F.floor((F.col("row") + (w - 1) * (1 if partial else -1)) / spread)
+    chunks = F.explode(F.sequence(F.least(own, F.greatest(reach, F.lit(0))), F.greatest(own, reach)))
+    dealt = rows.withColumn("_chunk", chunks).withColumn("_own", own == F.col("_chunk"))
+    found = _minima(dealt, [*partition, "_chunk"], value, w, ties, partial).where("_own")
+    if not partial:
+        found = found.where(F.col("row") <= F.col("size") - w)
+    return found.drop("_chunk", "_own", "size")
+
+
+def _minima(rows: DataFrame, partition: list[str], value: str, w: int, ties: str, partial: bool) -> DataFrame:
+    """``min_value`` and ``min_row`` for rows with ``row``, whole windows or not."""
     sign = 1 if ties == "left" else -1
     key = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), (F.col("row") * sign).alias("r")))
-    by_row = Window.partitionBy(*partition).orderBy("row")
     if w <= DIRECT:
+        by_row = Window.partitionBy(*partition).orderBy("row")
         frame = by_row.rowsBetween(1 - w, 0) if partial else by_row.rowsBetween(0, w - 1)
         found = rows.withColumn("_m", F.min(key).over(frame))
     else:
         found = _by_blocks(rows.withColumn("_k", key), partition, w, partial)
+    return found.withColumn("min_value", F.col("_m.v")).withColumn("min_row", F.col("_m.r") * sign).drop("_m", "_k")
+
+
+def sliding_min(
+    df: DataFrame,
+    partition: list[str],
+    order: list[str],
+    value: str,
+    w: int,
+    ties: str = "left",
+    partial: bool = False,
+    spread: int | None = None,
+) -> DataFrame:
+    """``df`` with ``row`` (0-based), ``min_value`` and ``min_row`` of a window of ``w`` rows.
+
+    The window starts at the row; rows without a complete one are left out.  With ``partial`` it ends at
+    the row instead, and the first ``w - 1`` windows are shorter.  ``ties`` picks the left or right one
+    of equal values.  Null values never win; a window of nulls has a null minimum.  ``spread`` deals each
+    key out in chunks of so many rows, for keys too hot for one task.
+    """
+    if w < 1 or ties not in ("left", "right") or (spread is not None and spread < 1):
+        raise ValueError("needs w >= 1, ties left or right, and spread >= 1")
+    if spread is not None:
+        return _spread_min(df, partition, order, value, w, ties, partial, spread)
+    along = Window.partitionBy(*partition).orderBy(*order)
+    rows = df.withColumn("row", F.row_number().over(along).cast("long") - 1)
+    found = _minima(rows, partition, value, w, ties, partial)
     if not partial:
         found = found.withColumn("_n", F.count("*").over(Window.partitionBy(*partition))).where(F.col("row") <= F.col("_n") - w).drop("_n")
-    return found.withColumn("min_value", F.col("_m.v")).withColumn("min_row", F.col("_m.r") * sign).drop("_m", "_k")
+    return found
+
+
+def hashed_minimizers(df: DataFrame, k: int, w: int, hash: Callable[[Column], Column]) -> DataFrame:
+    """``seq_id, ord, pos``: leftmost minimizers under any hash of the k-mer string that is a Column expression."""
+    kmers = F.transform(F.sequence(F.lit(0), F.length("seq") - k), lambda i: F.col("seq").substr(i + 1, F.lit(k)))
+    rows = df.where(F.length("seq") >= k + w - 1).select("seq_id", F.posexplode(kmers).alias("i", "kmer"))
+    windows = sliding_min(rows.select("seq_id", "i", hash(F.col("kmer")).alias("h")), ["seq_id"], ["i"], "h", w)
+    fresh = adjacent_dedup(windows.select("seq_id", "row", F.col("min_row").alias("pos")), ["seq_id"], ["row"], "pos")
+    number = F.row_number().over(Window.partitionBy("seq_id").orderBy("row")).cast("long") - 1
+    return fresh.select("seq_id", number.alias("ord"), "pos")
 
 
 def _by_blocks(rows: DataFrame, partition: list[str], w: int, partial: bool) -> DataFrame:
-    """Constant work per row: a window is the end of one block of ``w`` rows and the start of the next."""
+    """Constant work per row: a window is the end of one block of ``w`` rows and the start of the next.
+
+    Blocks are aligned to ``row``, so a chunk may begin inside one: its first block is just shorter.
+    """
     blocked = rows.withColumn("_b", F.floor(F.col("row") / w))
     block = Window.partitionBy(*partition, "_b")
     both = blocked.withColumns(

@@ -50,11 +50,12 @@ def test_filter_syncmers(spark, kind, argmins, expected):
 @pytest.mark.parametrize("w", [1, 3, 33, 50])
 @pytest.mark.parametrize("ties", ["left", "right"])
 @pytest.mark.parametrize("partial", [False, True])
-def test_sliding_min(spark, w, ties, partial):
+@pytest.mark.parametrize("spread", [None, 9])
+def test_sliding_min(spark, w, ties, partial, spread):
     rng = random.Random(w)
     rows = [(g, i, rng.choice([None, 1, 2, 3])) for g in (1, 2) for i in range(70 if g == 1 else 20)]
     df = spark.createDataFrame(rows, "g int, i int, v int")
-    got = {(r["g"], r["row"]): (r["min_value"], r["min_row"]) for r in sliding.sliding_min(df, ["g"], ["i"], "v", w, ties, partial).collect()}
+    got = {(r["g"], r["row"]): (r["min_value"], r["min_row"]) for r in sliding.sliding_min(df, ["g"], ["i"], "v", w, ties, partial, spread).collect()}
     want = {}
     for g in (1, 2):
         v = [x[2] for x in rows if x[0] == g]
@@ -68,6 +69,17 @@ def test_sliding_min(spark, w, ties, partial):
     assert got == want
 
 
+def test_numbered(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1, 1, 1, 2]), i) for i in range(300)]
+    rng.shuffle(rows)
+    got = sliding.numbered(spark.createDataFrame(rows, "g int, i int"), ["g"], ["i"]).collect()
+    for g in (None, 1, 2):
+        own = sorted(i for k, i in rows if k == g)
+        assert sorted((r["row"], r["i"]) for r in got if r["g"] == g) == list(enumerate(own))
+        assert {r["size"] for r in got if r["g"] == g} == {len(own)}
+
+
 def test_jumping(spark, lists):
     rng = random.Random(3)
     seqs = ["".join(rng.choices("ACGT", k=n)) for n in (0, 10, 11, 12, 60, 200)]
