@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,17 +66,20 @@ def local_session(app: str = "seqloom", cpus: int = 8, memory: str = "12g") -> S
     )
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the shared checkpoint folder and read again.
+def write_shared(df: DataFrame) -> str:
+    """Writes ``df`` as Parquet below the shared checkpoint folder; the path of the table.
 
-    Smaller than a checkpoint for wide rows; the table stays there until the folder is cleaned.
+    Smaller than a checkpoint for wide rows, and it can be removed when it has been used.
     """
-    import uuid
-
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        checkpointed(spark.range(0))  # sets the folder
+        checkpointed(df.sparkSession.range(0))  # sets the folder
     path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def remove_shared(spark: SparkSession, path: str) -> None:
+    """Removes a table that ``write_shared`` wrote."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
