@@ -12,7 +12,7 @@ A word without one before it has ``p(v)``.  The score of a document is the mean
 
 Scale.  Models are as large as the corpus, so nobody holds one.  Documents are dealt once into blocks by
 a hash of their id.  A block asks for the counts of its distinct words and bigrams (sorted 64-bit
-hashes, delta-coded, a binary per bucket) and sends along how often it has them itself; a bucket
+hashes, delta-coded, one binary per bucket) and sends along how often it has them itself; a bucket
 adds up all blocks' counts and answers each block in the order it asked; the block then scores
 its documents.  A hot word is one entry per block.  Blocks and buckets follow the input size, and
 labels meet documents in the same exchange.
@@ -38,24 +38,28 @@ from seqloom.llm.words import BASES, WordHashes, mix, split_words
 from seqloom.session import input_bytes
 
 KAPPA, MU = 1000.0, 5.0
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 LEAST_BLOCKS, LEAST_BUCKETS = 12, 48
 
 _U = np.uint64
 
 
-def _zip_planes(values: np.ndarray) -> bytes:
-    """Zero bytes of small numbers lie together, so they compress away."""
-    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.compress(planes.tobytes(), 1) if len(values) else b""
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays as one binary.  Bytes of one rank lie together, so that the zeros of small numbers compress away."""
+    raw = np.array([len(a) for a in arrays], "<u4").tobytes()
+    raw += b"".join(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+    return b"z" + zstandard.compress(raw, 1) if len(raw) > 200 else b"r" + raw
 
 
-def _unzip_planes(blob: bytes, kind: str) -> np.ndarray:
-    if not blob:
-        return np.empty(0, kind)
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+def _unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
+    raw = zstandard.decompress(blob[1:]) if blob[:1] == b"z" else blob[1:]
+    at, found = 4 * len(kinds), []
+    for n, kind in zip(np.frombuffer(raw, "<u4", len(kinds)).tolist(), kinds, strict=True):
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        found.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * size
+    return found
 
 
 class Texts:
@@ -109,7 +113,7 @@ def asker(buckets: int) -> type:
                 kinds.append(list(zip(*parts, strict=True)))
             for b, (word, pair) in enumerate(zip(*kinds, strict=True)):
                 if len(word[0]) or len(pair[0]):
-                    yield b, self.block, *(x for v, t, n in (word, pair) for x in (_zip_planes(np.diff(v, prepend=_U(0))), _zip_planes(t), _zip_planes(n)))
+                    yield b, self.block, _pack([x for v, t, n in (word, pair) for x in (np.diff(v, prepend=_U(0)), t, n)])
 
     return Asking
 
@@ -124,33 +128,33 @@ class Answering:
         self.rows.append(row)
 
     def finish(self) -> Iterator[tuple]:
-        answers: list[list[bytes]] = [[] for _ in self.rows]
-        for kind in (2, 5):
-            asked = [np.cumsum(_unzip_planes(r[kind], "<u8"), dtype=_U) for r in self.rows]
-            ends = np.cumsum([len(a) for a in asked])[:-1]
-            values, at = np.unique(np.concatenate(asked), return_inverse=True)
+        asked = [_unpack(r[2], ["<u8", "<u4", "<u4"] * 2) for r in self.rows]
+        answers: list[list[np.ndarray]] = [[] for _ in self.rows]
+        for kind in (0, 3):
+            hashes = [np.cumsum(a[kind], dtype=_U) for a in asked]
+            ends = np.cumsum([len(h) for h in hashes])[:-1]
+            values, at = np.unique(np.concatenate(hashes), return_inverse=True)
             for column in (kind + 1, kind + 2):
-                own = np.concatenate([_unzip_planes(r[column], "<u4") for r in self.rows])
-                total = np.bincount(at, own, len(values)).astype("<i8")
+                total = np.bincount(at, np.concatenate([a[column] for a in asked]), len(values)).astype("<i8")
                 for answer, part in zip(answers, np.split(total[at], ends), strict=True):
-                    answer.append(_zip_planes(part))
+                    answer.append(part)
         for row, answer in zip(self.rows, answers, strict=True):
-            yield row[1], row[0], *answer
+            yield row[1], row[0], _pack(answer)
 
 
 def score_block(rows: list[tuple], answers: list[tuple], target_words: int, all_words: int, words: WordHashes) -> list[tuple]:
     """``doc_id, n_words, target_loss, background_loss, score`` of the documents of a block."""
     texts = Texts(rows, words)
-    answers = sorted(answers, key=lambda a: a[0])
+    parts = [_unpack(blob, ["<i8"] * 4) for _, blob in sorted(answers, key=lambda a: a[0])]
 
     def counts(column: int) -> np.ndarray:
-        return np.concatenate([np.empty(0, "<i8"), *(_unzip_planes(a[column], "<i8") for a in answers)])
+        return np.concatenate([np.empty(0, "<i8"), *(p[column] for p in parts)])
 
     (_, word_at, _, _), (_, pair_at, _, _) = texts.distinct()
     follows = np.flatnonzero(~texts.first)
-    base = counts(2)[word_at] / max(all_words, 1)
+    base = counts(1)[word_at] / max(all_words, 1)
     losses = []
-    for word, pair, total, kappa in ((counts(1), counts(3), target_words, KAPPA), (counts(2), counts(4), all_words, 0.0)):
+    for word, pair, total, kappa in ((counts(0), counts(2), target_words, KAPPA), (counts(1), counts(3), all_words, 0.0)):
         c = word[word_at]
         p = (c + kappa * base) / max(total + kappa, 1)
         given = p.copy()
@@ -185,8 +189,6 @@ def _through(group: type, names: list[str], types: list[pa.DataType]):
     return run
 
 
-ASKED = ["words", "word_target", "word_all", "pairs", "pair_target", "pair_all"]
-ANSWERED = ["word_target", "word_all", "pair_target", "pair_all"]
 SCORED = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
 
 
@@ -208,21 +210,16 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     dealt = both.select(block.alias("block"), "doc_id", "text", "good").repartition(blocks, "block")
 
     asking = dealt.sortWithinPartitions("block").select("block", F.col("block").alias("own"), "doc_id", "text", "good")
-    asked = asking.mapInArrow(
-        _through(asker(buckets), ["bucket", "block", *ASKED], [pa.int32(), pa.int32(), *[pa.binary()] * 6]),
-        "bucket int, block int, " + ", ".join(f"{c} binary" for c in ASKED),
-    )
-    queued = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", F.col("bucket").alias("own"), "block", *ASKED)
-    answered = queued.mapInArrow(
-        _through(Answering, ["block", "bucket", *ANSWERED], [pa.int32(), pa.int32(), *[pa.binary()] * 4]),
-        "block int, bucket int, " + ", ".join(f"{c} binary" for c in ANSWERED),
-    )
+    types = [pa.int32(), pa.int32(), pa.binary()]
+    asked = asking.mapInArrow(_through(asker(buckets), ["bucket", "block", "blob"], types), "bucket int, block int, blob binary")
+    queued = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", F.col("bucket").alias("own"), "block", "blob")
+    answered = queued.mapInArrow(_through(Answering, ["block", "bucket", "blob"], types), "block int, bucket int, blob binary")
 
     words = WordHashes()
 
     def meet(texts: pa.Table, answers: pa.Table) -> pa.Table:
         rows = list(zip(*(texts[c].to_pylist() for c in ("doc_id", "text", "good")), strict=True))
-        given = list(zip(*(answers[c].to_pylist() for c in ("bucket", *ANSWERED)), strict=True))
+        given = list(zip(*(answers[c].to_pylist() for c in ("bucket", "blob")), strict=True))
         found = score_block(rows, given, target_words, all_words, words)
         types = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
         columns = zip(*found, strict=True) if found else [()] * 5
