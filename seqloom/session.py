@@ -33,13 +33,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """About how many bytes ``df`` holds: Catalyst's estimate, or a full split per partition if that is less.
+    """About how many bytes ``df`` reads: the sizes of its sources, or a full split per partition if that is less.
 
-    The estimate is the file sizes for scans, but unknown (as huge) for other sources and joins.
+    A source's size is that of its files; one that Spark doesn't know counts as huge.
     """
-    guess = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sources = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return min(guess, df.rdd.getNumPartitions() * int(split))
+    return min(sources, df.rdd.getNumPartitions() * int(split))
 
 
 def parallel(df: DataFrame, key: str) -> DataFrame:
