@@ -81,10 +81,11 @@ def _marks_side(name: str, rest: str) -> bool:
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
+def tokens(page: str, marks: bool = True) -> Iterator[tuple[str, str, bool]]:
     """``(kind, text, inside)``: a kind of token, its text if it is words, whether it is in an article.
 
-    Side content inside an article is part of its run of tokens, though not of its text.
+    Side content inside an article is part of its run of tokens, though not of its text.  Without
+    ``marks`` only elements mark side content, not classes, ids and roles.
     """
     stack: list[tuple[str, bool]] = []  # (name, opens side content)
     side = link = articles = 0
@@ -119,7 +120,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             articles += 1
             stack.append((name, False))
         elif name in NESTED and name not in VOID and not m["rest"].endswith("/"):
-            opens = _marks_side(name, m["rest"]) and not (name == "header" and articles)
+            opens = (_marks_side(name, m["rest"]) if marks else name in SIDE) and not (name == "header" and articles)
             stack.append((name, opens))
             side += opens
         yield ("side " + name if opens else name), "", articles > 0 and name not in ARTICLE
@@ -179,13 +180,16 @@ def train(pages: DataFrame, bound: int = TRAIN_PAGES) -> dict[str, float]:
     return weights_from({(r["kind"], r["inside"]): r["n"] for r in totals}) if totals else {}
 
 
-def extract_text(page: str, weights: dict[str, float]) -> str:
-    """The main text: blocks in page order, joined by newlines."""
+def extract_text(page: str, weights: dict[str, float], marks: bool = True) -> str:
+    """The main text: blocks in page order, joined by newlines.
+
+    If marked side content is all there is (a wrapper around the page may carry such a class), classes are not heeded.
+    """
     total = best = 0.0
     start = 0
     region = (0, 0)
     found = []
-    for i, (kind, text, _) in enumerate(tokens(page)):
+    for i, (kind, text, _) in enumerate(tokens(page, marks)):
         found.append((kind, text))
         if text:
             total += weight_of(kind, weights) * (len(text.split()) or 1)
@@ -207,7 +211,10 @@ def extract_text(page: str, weights: dict[str, float]) -> str:
             parts.append(" ")
     blocks.append(parts)
     lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+    text = "\n".join(x for x in lines if x)
+    if not text and marks and any(kind == SIDE_WORD for kind, _ in found):
+        return extract_text(page, weights, False)
+    return text
 
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -45,6 +45,8 @@ def test_defined_cases(spark):
         (3, "u", "<p>open <b>never closed<br>x", ""),
         (4, "u", "<article><p>" + "word " * 50_000 + "</article>", ""),
         (5, "u", "<<<>>> <p", ""),
+        (7, "u", '<div class="page no-sidebar"><p>all of it here</p></div>', ""),
+        (8, "u", "<nav><a href=x>only a menu</a></nav>", ""),
         (6, "u", '<div class="ad">never closed <article><p>kept text here</p></article>', ""),
     ]
     got = {}
@@ -53,6 +55,7 @@ def test_defined_cases(spark):
     assert got[1] == ["", ""] and got[None] == [""]
     assert got[2] == ["just text & no tags"] and got[3] == ["open never closed x"]
     assert len(got[4][0].split()) == 50_000 and got[6] == ["kept text here"]
+    assert got[7] == ["all of it here"] and got[8] == [""]
     assert H.extract(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
