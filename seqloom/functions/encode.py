@@ -17,6 +17,11 @@ for _code, _letter in enumerate(LETTERS):
     CODES[ord(_letter)] = CODES[ord(_letter.lower())] = _code
 
 
+def codes(raw: np.ndarray) -> np.ndarray:
+    """The codes of an array of bytes."""
+    return np.frombuffer(raw.tobytes().translate(CODES.tobytes()), np.uint8)
+
+
 def dna_only(text: Column, keep_n: bool = False) -> Column:
     """The DNA letters of a text, upper case; with ``keep_n`` also N."""
     return F.upper(F.regexp_replace(text, "[^ACGTNacgtn]" if keep_n else "[^ACGTacgt]", ""))

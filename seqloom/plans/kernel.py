@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from seqloom.functions.encode import CODES
+from seqloom.functions.encode import codes
 from seqloom.functions.hashers import BLOCK, Hasher
 
 PIECE = 1 << 20
@@ -67,9 +67,21 @@ def rightmost(order: np.ndarray, w: int) -> np.ndarray:
 
 
 def window_sums(flags: np.ndarray, length: int) -> np.ndarray:
-    sums = np.zeros(len(flags) + 1, np.int32)
-    np.cumsum(flags, out=sums[1:])
-    return sums[length:] - sums[:-length]
+    """Sums of every ``length`` neighbours (of at most 3 each), put together from doubled widths."""
+    n = len(flags) - length + 1
+    part = flags.astype(np.uint16 if 3 * length < 1 << 16 else np.uint32)
+    if n <= 0:
+        return part[:0]
+    total, at, size, left = None, 0, 1, length
+    while left:
+        if left & 1:
+            total = part[at : at + n] if total is None else total + part[at : at + n]
+            at += size
+        left >>= 1
+        if left:
+            part = part[:-size] + part[size:]
+            size *= 2
+    return total
 
 
 def windows(letters: np.ndarray, spec: Spec) -> np.ndarray:
@@ -156,14 +168,14 @@ def sketch(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, spec: Spec
             sizes = np.array([end - b])
         raw = data[lo:hi]
         if spec.hasher.alphabet == "dna":
-            letters = CODES[raw]
-            ambiguous = letters > 3
-            if ambiguous.any():
+            letters = codes(raw)
+            ambiguous = letters > 3 if len(letters) and letters.max() > 3 else None
+            if ambiguous is not None:
                 if not spec.skip_ambiguous:
                     raise ValueError("a letter is no base; use skip_ambiguous")
                 letters = np.where(ambiguous, raw >> 1 & 3, letters)
         else:
-            letters, ambiguous = raw, np.zeros(len(raw), bool)
+            letters, ambiguous = raw, None
         chosen = windows(letters, spec)
         n_windows = len(chosen)
         begins = np.cumsum(sizes) - sizes
@@ -171,7 +183,7 @@ def sketch(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, spec: Spec
         valid = np.ones(n_windows, bool)
         for stop in np.cumsum(sizes).tolist():
             valid[max(stop - spec.length + 1, 0) : stop] = False
-        if spec.skip_ambiguous:
+        if ambiguous is not None:
             valid &= window_sums(ambiguous, spec.length)[:n_windows] == 0
         known, last = carry.get(a, (0, -1)) if end >= 0 else (0, -1)
         if spec.select == "minimizer":
