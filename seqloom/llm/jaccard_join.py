@@ -272,11 +272,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         known.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     )
     in_bands = nodes.select("node", "copies", "key", F.posexplode("bands").alias("band", "bucket"))
-    shared = in_bands.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
+    # Aggregates are kept before they are joined, so that a hot bucket or group can be split by the join.
+    shared = in_bands.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size"))
+    shared = checkpointed(shared.where("size > 1"))
     stars = in_bands.join(shared, "bucket").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     found = components(stars)
     found = checkpointed(found.union(found.select("root", "root").distinct()).toDF("node", "root"))
-    sizes = found.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = checkpointed(found.groupBy("root").agg(F.count("*").alias("size")))
     members = nodes.select("node", "copies", "key").join(found, "node")
     small = sizes.where(F.col("size") <= GIANT).withColumnRenamed("root", "group")
     tasks = _in_blocks(members.withColumn("band", F.lit(-1)).withColumnRenamed("root", "group"), small)
