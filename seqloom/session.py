@@ -4,12 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context.
+
+    Vectorised functions import it there; so it need not be installed on, or on the path of, the workers.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_seqloom_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = f"{tempfile.mkdtemp(prefix='seqloom-')}/seqloom-package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(archive)
+    sc._seqloom_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir`` (any path Spark's readers can open)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

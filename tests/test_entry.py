@@ -33,6 +33,23 @@ def test_query_is_its_sql(spark, name):
     assert list(got.columns) == list(want.columns) and got.equals(want)
 
 
+@needs_data
+def test_works_from_anywhere(tmp_path):
+    """Neither the working folder nor the path of the workers holds the package."""
+    code = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("entry", {os.path.abspath(entry.__file__)!r})
+e = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(e)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert e.entry(spark).count() > 0
+assert e.queries()["jumping_minimizers"](spark, {SMALL!r}).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env=env)
+
+
 def test_works_without_the_subpackage(tmp_path):
     root = os.path.dirname(os.path.abspath(entry.__file__))
     for part in ("__spark_entry__.py", "seqloom", "verify_oracle.py"):
