@@ -13,6 +13,7 @@ from seqloom.functions.encode import CODES
 from seqloom.functions.hashers import nt_hash
 from seqloom.plans import kernel
 from seqloom.plans.kernel import Spec
+from seqloom.session import ship
 
 
 def _positions(seq: str | None, k: int, w: int, canonical: bool, select: str) -> np.ndarray:
@@ -38,6 +39,7 @@ def _array_function(select: str):
 def register(spark: SparkSession) -> None:
     """``minimizer_positions``, ``closed_syncmer_positions``, ``open_syncmer_positions`` (seq, k, w, canonical)
     as scalar functions, ``minimizers(seq, k, w, canonical)`` as a table function, and ``revcomp(seq)``."""
+    ship(spark)
     for name, select in (("minimizer", "minimizer"), ("closed_syncmer", "closed"), ("open_syncmer", "open")):
         spark.udf.register(f"{name}_positions", _array_function(select))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.hashers import Hasher, nt_hash
 from seqloom.plans import kernel, relational
 from seqloom.plans.kernel import Spec
+from seqloom.session import ship
 
 MAX_W = 1 << 15
 
@@ -116,6 +117,7 @@ class Sketch:
         ``spread`` deals each sequence out in overlapping chunks of so many windows, for few but very
         long sequences; only then is the output shuffled, to number its rows.
         """
+        ship(df.sparkSession)
         sequences = df.select("seq_id", "seq")
         if self.want_strings and (strategy != "arrow" or spread is not None):
             raise ValueError("strings need the arrow strategy and whole sequences; see super_kmer_strings")
@@ -139,6 +141,7 @@ class Sketch:
         """
         if self.want_strings:
             raise ValueError("strings come as rows")
+        ship(df.sparkSession)
         spec, columns = self.spec(), [c for c in self.columns() if c != "ord"]
         value = "long" if self.value_length <= 31 else "decimal(38,0)"
         kinds = [f"{c} array<{value if c == 'value' else 'bigint'}>" for c in columns]
@@ -230,6 +233,7 @@ def canonical_minimizer_positions(df: DataFrame, k: int, w: int) -> DataFrame:
 def one_minimizer(df: DataFrame, k: int, canonical: bool = False) -> DataFrame:
     """``seq_id, pos``: each whole sequence as one window; null if it has no k-mer."""
     hash = nt_hash(k, canonical)
+    ship(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -258,6 +262,7 @@ def one_minimizer(df: DataFrame, k: int, canonical: bool = False) -> DataFrame:
 
 def kmer_hashes(df: DataFrame, hash: Hasher) -> DataFrame:
     """``seq_id, pos, h`` of every k-mer; 64-bit hashes as signed longs with the same bits."""
+    ship(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa

@@ -12,7 +12,7 @@ from seqloom.functions.encode import CODES
 from seqloom.functions.hashers import Hasher
 from seqloom.operators.streams import adjacent_dedup
 from seqloom.plans import kernel
-from seqloom.session import checkpointed
+from seqloom.session import checkpointed, ship
 
 #: Up to this width a frame is aggregated directly; wider ones come from block minima.
 DIRECT = 32
@@ -136,6 +136,7 @@ def jumping_minimizers(df: DataFrame, k: int, w: int, hash: Hasher) -> DataFrame
     last ``w`` k-mers give one more position unless it is the last one already.  Sequences with fewer than
     ``w`` k-mers give none.
     """
+    ship(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa
