@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
 ``documents``.  ``run`` writes every stage as a table in the shared checkpoint folder and
-reads it again, so that a lost executor never sends the work back over several stages.
+reads it again, so that a lost executor never sends the work back over several stages; a table
+goes when the next one is written.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import decontaminate, jaccard_join, packing, pii, quality_rules
 from seqloom.llm.queries import tokenizer_files
-from seqloom.session import materialized, read_table
+from seqloom.session import read_table, remove_shared, write_shared
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialized(stage(spark, docs, sf_dir))
+        path = write_shared(stage(spark, docs, sf_dir))
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if last is not None:
+            remove_shared(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

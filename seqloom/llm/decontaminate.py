@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import ship
+
 SHINGLE = 5
 OVERLAP = 0.8
 K1, B = 1.2, 0.75
@@ -199,6 +201,7 @@ class Index:
 def indexes(items: DataFrame) -> list:
     """Broadcast indexes of the items, of at most about ``SHARD_CHARS`` characters each."""
     spark = items.sparkSession
+    ship(spark)
     items = items.select("item_id", "text").where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     shards = -(-chars // SHARD_CHARS) or 1

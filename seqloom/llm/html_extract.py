@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import ship
+
 TRAIN_PAGES = 2_000
 ARTICLE = ("article", "main")
 #: Elements whose content is no text, elements of side content, and words in class, id or role that mark it.
@@ -160,6 +162,7 @@ def weight_of(kind: str, weights: dict[str, float]) -> float:
 
 def train(pages: DataFrame, bound: int = TRAIN_PAGES) -> dict[str, float]:
     """Weights from about ``bound`` pages that have an article element; {} if there are none."""
+    ship(pages.sparkSession)
     labelled = pages.select("page_id", "html").where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
     n = pages.count()
     if n > bound:
@@ -219,6 +222,7 @@ def extract_text(page: str, weights: dict[str, float], marks: bool = True) -> st
 
 def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``page_id, url, text`` of each page; ``weights`` are trained on ``pages`` if not given."""
+    ship(pages.sparkSession)
     if weights is None:
         weights = train(pages)
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.components import components
 from seqloom.llm.substring_dedup import by_group
 from seqloom.llm.words import BASES, Roller, WordHashes, mix, split_words
-from seqloom.session import checkpointed
+from seqloom.session import checkpointed, ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -265,6 +265,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     ``class_id`` is the smallest id that a document hangs together with by links; ``n_links``
     counts the other documents that it is linked to, copies included.
     """
+    ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     features = checkpointed(featured(docs, shingle))
     known = features.where("doc_id IS NOT NULL AND key IS NOT NULL")

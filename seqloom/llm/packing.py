@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from seqloom.session import ship
+
 WINDOW = 2048
 OPEN_WINDOWS = 16
 END_ID = 1
@@ -152,6 +154,7 @@ def pack(
 
     ``ids`` holds little-endian unsigned 32-bit ids.
     """
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, ranks, pattern)

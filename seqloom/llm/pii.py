@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.session import ship
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The character classes of the base patterns.
@@ -229,6 +231,7 @@ def _structs(spans: list[tuple[int, int, int]]) -> list[dict]:
 
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id, base, spans``: arrays of ``struct<kind, start, end>`` in code points."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,6 +258,7 @@ def redact_text(text: str) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; null texts stay null."""
+    ship(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
