@@ -41,7 +41,27 @@ FROM t GROUP BY conv_id
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    scored = lm_score.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss", "score")})
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+t AS (SELECT doc_id, unnest(range(len(words))) AS i, unnest(words) AS v FROM d WHERE len(words) > 0),
+k AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY i) AS u, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good FROM t),
+uni AS (SELECT v, count(*) AS b, count(*) FILTER (good) AS t FROM k GROUP BY v),
+bi AS (SELECT u, v, count(*) AS b, count(*) FILTER (good) AS t FROM k WHERE u IS NOT NULL GROUP BY u, v),
+n AS (SELECT count(*) AS b, count(*) FILTER (good) AS t FROM k),
+p AS (
+  SELECT k.doc_id, k.i, k.u, x.b / n.b AS pb, (x.t + 1000 * (x.b / n.b)) / (n.t + 1000) AS pt, y.b AS yb, y.t AS yt, bi.b AS bb, bi.t AS bt
+  FROM k CROSS JOIN n JOIN uni x ON x.v = k.v LEFT JOIN uni y ON y.v = k.u LEFT JOIN bi ON bi.u = k.u AND bi.v = k.v),
+g AS (
+  SELECT doc_id, CASE WHEN u IS NULL THEN pt ELSE (bt + 5 * pt) / (yt + 5) END AS gt, CASE WHEN u IS NULL THEN pb ELSE (bb + 5 * pb) / (yb + 5) END AS gb
+  FROM p),
+s AS (SELECT doc_id, avg(-ln(gt)) AS t, avg(-ln(gb)) AS b FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(words) AS n_words, round(t, 6) AS target_loss, round(b, 6) AS background_loss, round(t - b, 6) AS score
+FROM d LEFT JOIN s USING (doc_id)
+"""
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +160,20 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS gram
+  FROM d, unnest(range(1, greatest(len(words) - 3, 2))) AS u(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b, c = x.n AND c = y.n AS copy FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links, count(*) FILTER (copy) AS n_copies FROM l GROUP BY a)
+SELECT c.a AS doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 0) + 1 AS n_copies FROM c LEFT JOIN k ON k.a = c.a
+"""
+
+
 def tokenizer_files() -> dict[str, str]:
     """Where the public vocabulary files are."""
     import public_tokenizers
@@ -174,7 +208,9 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
+    "op2_lm_score": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
     "op7_url_filter": OP7_SQL,
+    "op8_jaccard_join": OP8_SQL,
 }
