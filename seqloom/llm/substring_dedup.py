@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.words import BASES, Roller, WordHashes, mix, sliding_min, split_words
-from seqloom.session import input_bytes
+from seqloom.session import input_bytes, ship
 
 WIDTH = 50
 ANCHOR = 8
 BLOCK_WINDOWS = 1 << 20
 BUCKET_BYTES = 4 << 20
-LEAST_BUCKETS = 64
+LEAST_BUCKETS = 24
+#: More buckets than this share partitions; a partition takes its buckets one after another.
+MOST_PARTITIONS = 20_000
 
 _U = np.uint64
 HEAD = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("n", "<i4")])
@@ -180,6 +182,7 @@ def by_group(batches: Iterator[pa.RecordBatch], group: type) -> Iterator[tuple]:
 
 def repeated_runs(docs: DataFrame, width: int = WIDTH, buckets: int | None = None) -> DataFrame:
     """``doc_id, key, runs`` of windows that also start in a smaller document."""
+    ship(docs.sparkSession)
     if buckets is None:
         buckets = max(LEAST_BUCKETS, input_bytes(docs) // BUCKET_BYTES)
 
@@ -214,7 +217,7 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, buckets: int | None = Non
         .select("doc_id", F.xxhash64("text").alias("key"), "text")
         .mapInArrow(send, "bucket int, heads binary, h binary, c binary, settled binary")
     )
-    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = sent.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(compare, "doc_id long, key long, runs binary")
 
 
