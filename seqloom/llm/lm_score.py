@@ -33,9 +33,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.substring_dedup import by_group
+from seqloom.llm.substring_dedup import MOST_PARTITIONS, by_group
 from seqloom.llm.words import BASES, WordHashes, mix, split_words
-from seqloom.session import input_bytes
+from seqloom.session import input_bytes, ship
 
 KAPPA, MU = 1000.0, 5.0
 BLOCK_BYTES = 2 << 20
@@ -194,6 +194,7 @@ SCORED = ["doc_id", "n_words", "target_loss", "background_loss", "score"]
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, n_words, target_loss, background_loss, score``; ``labels`` has doc_id, quality."""
+    ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     size = input_bytes(docs)
     blocks, buckets = max(LEAST_BLOCKS, size // BLOCK_BYTES), max(LEAST_BUCKETS, size // BLOCK_BYTES)
@@ -207,12 +208,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int")
     both = docs.withColumn("good", F.lit(False)).union(good.select("doc_id", F.lit(None).cast("string"), F.lit(True)))
-    dealt = both.select(block.alias("block"), "doc_id", "text", "good").repartition(blocks, "block")
+    dealt = both.select(block.alias("block"), "doc_id", "text", "good").repartition(min(blocks, MOST_PARTITIONS), "block")
 
     asking = dealt.sortWithinPartitions("block").select("block", F.col("block").alias("own"), "doc_id", "text", "good")
     types = [pa.int32(), pa.int32(), pa.binary()]
     asked = asking.mapInArrow(_through(asker(buckets), ["bucket", "block", "blob"], types), "bucket int, block int, blob binary")
-    queued = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").select("bucket", F.col("bucket").alias("own"), "block", "blob")
+    queued = asked.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").select("bucket", F.col("bucket").alias("own"), "block", "blob")
     answered = queued.mapInArrow(_through(Answering, ["block", "bucket", "blob"], types), "block int, bucket int, blob binary")
 
     words = WordHashes()
