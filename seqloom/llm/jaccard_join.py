@@ -42,7 +42,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS, STEP = 32, 4, 32
 VALUES = BANDS * ROWS
-TOLERANCE = 1e-6
+TOLERANCE = 1e-9
 BLOCK = 256
 GIANT = 8192
 CHUNK = 1 << 16
