@@ -14,11 +14,14 @@ Extraction is one pass without a shuffle; a page is handled alone, whatever its
 
 Defined cases: a null html is empty and gives an empty text; null ids and urls stay; repeated rows
 give equal rows; text outside any block still counts; broken or missing end tags
-never hide an article that starts later; other columns are ignored.
+never hide an article that starts later; scripts, styles, form values and page titles are no text, nor
+is what buttons, drawings, frames and the like hold, up to their end tag; formulas and the
+content of media elements are text; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import math
 import re
@@ -33,8 +36,15 @@ from seqloom.session import ship
 
 TRAIN_PAGES = 2_000
 ARTICLE = ("article", "main")
-#: Elements whose content is no text, elements of side content, and words in class, id or role that mark it.
-RAW = "script|style|noscript|template|svg|math|title|textarea|select|button|iframe|object|audio|video|canvas"
+#: Elements whose content is no markup, elements whose content is no text, and tags around text that weigh nothing.
+RAW = ("script", "style", "title", "textarea")
+HIDDEN = {"noscript", "template", "svg", "select", "button", "iframe"}
+WEIGHTLESS = {
+    *"object param audio video source track canvas math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot".split(),
+    *"mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose mmultiscripts mprescripts merror".split(),
+    *"semantics annotation annotation-xml".split(),
+}
+#: Elements of side content, and words in class, id or role that mark it.
 SIDE = {"nav", "header", "footer", "aside", "form", "dialog", "menu"}
 SIDE_WORDS = {
     *"ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion".split(),
@@ -49,14 +59,23 @@ BLOCKS = {
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "col", "area", "base", "embed", "track", "param"}
 #: Elements that are followed on a stack; others never open side content.
 NESTED = BLOCKS - {"p", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "hr", "html", "head", "body"}
-NESTED |= {"span", "dialog", "menu"}
-
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\s(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*|[^>]*))>"
-    r"|<[!?][^>]*>|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+NESTED |= {"span", "dialog", "menu"} | HIDDEN
+HIDDEN_END = re.compile(rf"</({'|'.join(sorted(HIDDEN))})(?=[\s/>])", re.I)
+
+
+@functools.cache
+def token_pattern(unclosed: frozenset[str] = frozenset()) -> re.Pattern:
+    """Tokens of a page in which the raw elements ``unclosed`` have no end tag; these reach to the next article."""
+    closed = "|".join(x for x in RAW if x not in unclosed) or "(?!)"
+    return re.compile(
+        rf"<!--.*?(?:-->|\Z)|<(?P<raw>{closed})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|(?P<open>\Z))"
+        + rf"|<(?:{'|'.join(sorted(unclosed)) or '(?!)'})(?=[\s/>])[^>]*>.*?(?:\Z|(?=<(?:{'|'.join(ARTICLE)})[\s/>]))"
+        + r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\s(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*|[^>]*))>"
+        + r"|<[!?][^>]*>|(?P<text>[^<]+|<)",
+        re.S | re.I,
+    )
+
+
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PART = re.compile(r"[A-Za-z]+")
 
@@ -83,6 +102,18 @@ def _marks_side(name: str, rest: str) -> bool:
     return False
 
 
+def _matches(page: str) -> Iterator[re.Match]:
+    """The tokens of a page; a raw element without an end tag ends where an article starts."""
+    at, unclosed = 0, frozenset()
+    while at is not None:
+        start, at = at, None
+        for m in token_pattern(unclosed).finditer(page, start):
+            if m["open"] is not None:
+                at, unclosed = m.start(), unclosed | {m["raw"].lower()}
+                break
+            yield m
+
+
 def tokens(page: str, marks: bool = True) -> Iterator[tuple[str, str, bool]]:
     """``(kind, text, inside)``: a kind of token, its text if it is words, whether it is in an article.
 
@@ -90,11 +121,12 @@ def tokens(page: str, marks: bool = True) -> Iterator[tuple[str, str, bool]]:
     ``marks`` only elements mark side content, not classes, ids and roles.
     """
     stack: list[tuple[str, bool]] = []  # (name, opens side content)
-    side = link = articles = 0
-    for m in TOKEN.finditer(page):
+    side = link = articles = hidden = 0
+    last_end: dict[str, int] | None = None  # of hidden elements
+    for m in _matches(page):
         text = m["text"]
         if text is not None:
-            if not text.isspace():
+            if not text.isspace() and not hidden:
                 yield (SIDE_WORD if side else LINK_WORD if link else WORD), text, articles > 0
             continue
         if m["name"] is None:
@@ -108,24 +140,36 @@ def tokens(page: str, marks: bool = True) -> Iterator[tuple[str, str, bool]]:
                 while stack:
                     n, s = stack.pop()
                     side -= s
+                    hidden -= n in HIDDEN
                     articles -= n in ARTICLE
                     if n == name:
                         closes = s
                         break
-            yield ("side /" if closes else "/") + name, "", articles > 0 and name not in ARTICLE
+            if not (hidden or name in HIDDEN or name in WEIGHTLESS):
+                yield ("side /" if closes else "/") + name, "", articles > 0 and name not in ARTICLE
             continue
         if name == "a":
             link = 1
         opens = False
         if name in ARTICLE:
-            side, stack = 0, [(n, False) for n, _ in stack]
+            side, hidden, stack = 0, 0, [(n, False) for n, _ in stack if n not in HIDDEN]
             articles += 1
             stack.append((name, False))
+        elif name in HIDDEN:
+            if last_end is None:
+                last_end = {e[1].lower(): e.start() for e in HIDDEN_END.finditer(page)}
+            # Without an end tag it holds nothing; those that can't nest end at the next one.
+            if not m["rest"].endswith("/") and last_end.get(name, -1) >= m.end():
+                if name in ("svg", "template") or all(n != name for n, _ in stack):
+                    stack.append((name, False))
+                    hidden += 1
+            continue
         elif name in NESTED and name not in VOID and not m["rest"].endswith("/"):
             opens = (_marks_side(name, m["rest"]) if marks else name in SIDE) and not (name == "header" and articles)
             stack.append((name, opens))
             side += opens
-        yield ("side " + name if opens else name), "", articles > 0 and name not in ARTICLE
+        if not (hidden or name in WEIGHTLESS):
+            yield ("side " + name if opens else name), "", articles > 0 and name not in ARTICLE
 
 
 def count_kinds(page: str) -> Counter:

@@ -81,3 +81,33 @@ def test_training_sees_labelled_pages_only(spark):
     assert H.train(spark.createDataFrame(rows[-1:], SCHEMA)) == {}
     few = H.train(spark.createDataFrame(rows, SCHEMA), bound=10)
     assert few[H.WORD] > 0
+
+
+def test_elements_without_end_tags_hide_no_article():
+    article = "<article><p>first words here</p><p>second words here</p></article>"
+    want = "first words here\nsecond words here"
+    for before in (
+        '<svg class="i"/>',
+        "<video-player src=x></video-player>",
+        "<script-loader></script-loader>",
+        "<button>Menu",
+        "<noscript>please",
+        "<svg><path d=x>",
+        "<math/>",
+        "<script>var a = 1;",
+        "<title>Page",
+        "<title>Page<style>p{}<textarea>x<script>y",
+        "<button>Menu<p>x</p><nav></button>",
+    ):
+        assert H.extract_text(before + article, {}) == want, before
+    inside = "<article><p>first <button>Share</button><svg><title>t</title><text>no</text></svg>words here</p><button>Share<p>second words here</p></article>"
+    assert H.extract_text(inside, {}) == "first words here\nShare\nsecond words here"
+    many = "<script><article>" * 1_000 + "<button>" * 30_000 + "<p>x</p>"
+    assert "x" in H.extract_text(many, {})
+
+
+def test_formulas_and_media_are_text():
+    formula = "<math><mrow><mi>a</mi><mo>=</mo><mi>b</mi></mrow></math>"
+    media = '<video controls><source src="x"><p>a film of it</p></video><object data=x><param name=y>a drawing</object>'
+    page = f"<article><p>so {formula} holds</p>{media}<p>and so on</p></article>"
+    assert H.extract_text(page, {}) == "so a=b holds\na film of it\na drawing\nand so on"
