@@ -3,7 +3,7 @@
 A page becomes a sequence of tokens: words and tags.  Words score positive and tags negative;
 how much is learned from labelled pages, those that mark their article themselves: the weight of
 a kind of token is the log-odds of meeting it inside rather than outside the article.
-Words in links are a kind of their own, and words in marked side content (menus, adverts, comments, ...)
+Words in links are a kind of their own, and words in side content (elements, or whole class, id and role marks, of menus, adverts, comments, ...)
 count nothing: they are left out in any case, so only the tags around them matter.  A linear scan (Kadane's) finds the contiguous region of the highest total, and its
 words, without those of marked side content, are the text.
 
@@ -76,8 +76,12 @@ def token_pattern(unclosed: frozenset[str] = frozenset()) -> re.Pattern:
     )
 
 
-MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-PART = re.compile(r"[A-Za-z]+")
+MARKS = re.compile(r"""(?<![\w:-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+PART = re.compile(r"[a-z]{2,}")
+#: Parts that a side mark may have besides its side word, as in ``site-footer`` or ``ad-slot``.
+PLACES = set("site global top bottom left right primary secondary list area container wrapper box block bar unit slot".split())
+#: The reading without class marks is taken if its region scores so many times higher.
+FAR = 10
 
 WORD, LINK_WORD, SIDE_WORD = "word", "link word", "side word"
 #: Weights of kinds that no labelled page has; tags that occur in running text hardly count.
@@ -97,8 +101,10 @@ def _marks_side(name: str, rest: str) -> bool:
     if "=" not in rest:
         return False
     for m in MARKS.finditer(rest):
-        if not SIDE_WORDS.isdisjoint(PART.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
+        for mark in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = PART.findall(mark)
+            if not SIDE_WORDS.isdisjoint(parts) and all(x in SIDE_WORDS or x in PLACES for x in parts):
+                return True
     return False
 
 
@@ -227,17 +233,14 @@ def train(pages: DataFrame, bound: int = TRAIN_PAGES) -> dict[str, float]:
     return weights_from({(r["kind"], r["inside"]): r["n"] for r in totals}) if totals else {}
 
 
-def extract_text(page: str, weights: dict[str, float], marks: bool = True) -> str:
-    """The main text: blocks in page order, joined by newlines.
-
-    If marked side content is all there is (a wrapper around the page may carry such a class), classes are not heeded.
-    """
+def best_region(page: str, weights: dict[str, float], marks: bool) -> tuple[float, list[tuple[str, str, bool]], list[tuple[str, str, bool]]]:
+    """The highest total of a run of tokens, the run, and all tokens."""
     total = best = 0.0
     start = 0
     region = (0, 0)
     found = []
-    for i, (kind, text, _) in enumerate(tokens(page, marks)):
-        found.append((kind, text))
+    for i, (kind, text, inside) in enumerate(tokens(page, marks)):
+        found.append((kind, text, inside))
         if text:
             total += weight_of(kind, weights) * (len(text.split()) or 1)
         else:
@@ -246,8 +249,12 @@ def extract_text(page: str, weights: dict[str, float], marks: bool = True) -> st
             best, region = total, (start, i + 1)
         elif total <= 0:
             total, start = 0.0, i + 1
+    return best, found[region[0] : region[1]], found
+
+
+def joined(region: list[tuple[str, str, bool]]) -> str:
     blocks, parts = [], []
-    for kind, text in found[region[0] : region[1]]:
+    for kind, text, _ in region:
         if text:
             if kind != SIDE_WORD:
                 parts.append(text)
@@ -258,9 +265,24 @@ def extract_text(page: str, weights: dict[str, float], marks: bool = True) -> st
             parts.append(" ")
     blocks.append(parts)
     lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
-    text = "\n".join(x for x in lines if x)
-    if not text and marks and any(kind == SIDE_WORD for kind, _ in found):
-        return extract_text(page, weights, False)
+    return "\n".join(x for x in lines if x)
+
+
+def extract_text(page: str, weights: dict[str, float]) -> str:
+    """The main text: blocks in page order, joined by newlines.
+
+    A wrapper around the page or an article may carry a class of side content.  So classes are not heeded if that
+    gives a region that scores ``FAR`` times higher, in an article if the page has one, or if there is no text else.
+    """
+    best, region, found = best_region(page, weights, True)
+    text = joined(region)
+    n_side = sum(len(t.split()) for kind, t, _ in found if kind == SIDE_WORD)
+    # Without side words the totals differ by tags only; no reading scores more than all its words do.
+    if n_side and (not text or max(weight_of(WORD, weights), 0.0) * (n_side + sum(len(t.split()) for k, t, _ in found if k == WORD)) > FAR * best):
+        labelled = any(inside for _, _, inside in found)
+        other, run, _ = best_region(page, weights, False)
+        if not text or other > FAR * best and (not labelled or all(inside for _, t, inside in run if t)):
+            return joined(run)
     return text
 
 

@@ -111,3 +111,22 @@ def test_formulas_and_media_are_text():
     media = '<video controls><source src="x"><p>a film of it</p></video><object data=x><param name=y>a drawing</object>'
     page = f"<article><p>so {formula} holds</p>{media}<p>and so on</p></article>"
     assert H.extract_text(page, {}) == "so a=b holds\na film of it\na drawing\nand so on"
+
+
+def test_wrappers_with_side_words_keep_their_text():
+    body = "".join(f"<p>{'some words of the article ' * 8}</p>" for _ in range(3))
+    want = "\n".join(["some words of the article " * 8] * 3).replace(" \n", "\n").strip()
+    for mark in ('class="layout with-sidebar"', 'class="has-banner"', 'class="page banner"', 'id="sidebar"', 'class="a" data-id="ad"'):
+        page = f'<div {mark}><div class="content">{body}</div></div><p>(c) 2024 Example</p>'
+        assert H.extract_text(page, {}).startswith(want), mark
+    assert H.extract_text(f'<article><div class="content banner">{body}</div><p>Monday</p></article>', {}).startswith(want)
+    for mark in ("section-header", "related-work", "social-history"):
+        assert H.extract_text(f'<article>{body}<div class="{mark}">{"kept words " * 8}</div></article>', {}) == want + "\n" + ("kept words " * 8).strip()
+
+
+def test_side_marks_still_hold():
+    body = f"<p>{'some words of the article ' * 8}</p>"
+    want = ("some words of the article " * 8).strip()
+    for mark in ("ad", "post sidebar", "site-footer", "ad-slot", "cookie_banner", "ad-300x250", "comments-area"):
+        assert H.extract_text(f'<article>{body}<div class="{mark}">{"left out " * 30}</div></article>', {}) == want, mark
+    assert H.extract_text(f'<article>{body}</article><section id="comments">{body * 30}</section>', {}) == want
