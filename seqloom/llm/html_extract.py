@@ -123,7 +123,7 @@ def _matches(page: str) -> Iterator[re.Match]:
 def tokens(page: str, marks: bool = True) -> Iterator[tuple[str, str, bool]]:
     """``(kind, text, inside)``: a kind of token, its text if it is words, whether it is in an article.
 
-    Side content inside an article is part of its run of tokens, though not of its text.  Without
+    White space is text of no words. Side content inside an article is part of its run of tokens, though not of its text.  Without
     ``marks`` only elements mark side content, not classes, ids and roles.
     """
     stack: list[tuple[str, bool]] = []  # (name, opens side content)
@@ -132,7 +132,7 @@ def tokens(page: str, marks: bool = True) -> Iterator[tuple[str, str, bool]]:
     for m in _matches(page):
         text = m["text"]
         if text is not None:
-            if not text.isspace() and not hidden:
+            if not hidden:
                 yield (SIDE_WORD if side else LINK_WORD if link else WORD), text, articles > 0
             continue
         if m["name"] is None:
@@ -182,7 +182,7 @@ def count_kinds(page: str) -> Counter:
     """How often each kind occurs inside and outside the marked article; words by number."""
     seen: Counter = Counter()
     for kind, text, inside in tokens(page):
-        seen[kind, inside] += len(text.split()) or 1
+        seen[kind, inside] += len(text.split()) if text else 1
     return seen
 
 
@@ -242,7 +242,7 @@ def best_region(page: str, weights: dict[str, float], marks: bool) -> tuple[floa
     for i, (kind, text, inside) in enumerate(tokens(page, marks)):
         found.append((kind, text, inside))
         if text:
-            total += weight_of(kind, weights) * (len(text.split()) or 1)
+            total += weight_of(kind, weights) * len(text.split())
         else:
             total += weight_of(kind, weights)
         if total > best:

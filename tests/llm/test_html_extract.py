@@ -130,3 +130,10 @@ def test_side_marks_still_hold():
     for mark in ("ad", "post sidebar", "site-footer", "ad-slot", "cookie_banner", "ad-300x250", "comments-area"):
         assert H.extract_text(f'<article>{body}<div class="{mark}">{"left out " * 30}</div></article>', {}) == want, mark
     assert H.extract_text(f'<article>{body}</article><section id="comments">{body * 30}</section>', {}) == want
+
+
+def test_white_space_between_inline_elements_is_a_space():
+    words = " ".join(["so many more words stand here"] * 6)
+    page = f"<article><p>{words} <b>foo</b> <i>bar</i>\n<em>x</em><b>y</b></p>\n  <p><a>one</a> <a>two</a> {words}</p></article>"
+    want = f"{words} foo bar xy\none two {words}"
+    assert H.extract_text(page, {}) == want
