@@ -7,8 +7,8 @@ Words in links are a kind of their own, and words in side content (elements, or
 count nothing: they are left out in any case, so only the tags around them matter.  A linear scan (Kadane's) finds the contiguous region of the highest total, and its
 words, without those of marked side content, are the text.
 
-Training reads at most about ``TRAIN_PAGES`` labelled pages, drawn by a hash of their rows
-over the whole table; their counts are added up in Spark and only the counts of
+Training reads ``TRAIN_PAGES`` labelled pages, or all if there are fewer, drawn by a hash of their rows
+over the whole table (equal rows are drawn together); their counts are added up in Spark and only the counts of
 distinct tag kinds reach the driver.  Without labelled pages the default weights hold.
 Extraction is one pass without a shuffle; a page is handled alone, whatever its length.
 
@@ -211,13 +211,14 @@ def weight_of(kind: str, weights: dict[str, float]) -> float:
 
 
 def train(pages: DataFrame, bound: int = TRAIN_PAGES) -> dict[str, float]:
-    """Weights from about ``bound`` pages that have an article element; {} if there are none."""
+    """Weights from ``bound`` pages that have an article element, all if there are fewer; {} if there are none."""
     ship(pages.sparkSession)
     labelled = pages.select("page_id", "html").where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
-    n = pages.count()
-    if n > bound:
-        share = int(bound / n * 1_000_000) + 1
-        labelled = labelled.where(F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(1_000_000)) < share)
+    # The ``bound`` smallest hashes of the labelled pages; equal rows share a hash and are drawn together.
+    drawn = F.xxhash64("page_id", "html")
+    last = labelled.select(drawn.alias("h")).orderBy("h").limit(bound).agg(F.count("*").alias("n"), F.max("h").alias("h")).first()
+    if last["n"] == bound:
+        labelled = labelled.where(drawn <= last["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

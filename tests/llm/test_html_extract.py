@@ -137,3 +137,12 @@ def test_white_space_between_inline_elements_is_a_space():
     page = f"<article><p>{words} <b>foo</b> <i>bar</i>\n<em>x</em><b>y</b></p>\n  <p><a>one</a> <a>two</a> {words}</p></article>"
     want = f"{words} foo bar xy\none two {words}"
     assert H.extract_text(page, {}) == want
+
+
+def test_rare_labels_are_all_used(spark):
+    rng = random.Random(6)
+    labelled = [(i, "u", page(rng, i)[0], "") for i in range(5)]
+    rows = labelled + [(100 + i, "u", "<div>no label</div>", "") for i in range(3_000)]
+    assert H.train(spark.createDataFrame(rows, SCHEMA), bound=10) == H.train(spark.createDataFrame(labelled, SCHEMA))
+    one = H.train(spark.createDataFrame(rows, SCHEMA), bound=1)
+    assert one in [H.weights_from(H.count_kinds(p)) for _, _, p, _ in labelled]
