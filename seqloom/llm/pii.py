@@ -3,7 +3,8 @@
 Plain forms are found by fixed patterns (leftmost, non-overlapping, failing matches dropped).
 For disguised forms a chain of transducers rewrites the text and keeps, for every character
 written, the source characters it stands for: look-alike characters and foreign digits become
-ASCII and invisible ones vanish; spelled digits become digits; disguised at and dot signs become
+ASCII and invisible ones vanish; spelled digits become digits, three in a row or as parts of a number that
+with its numerals has the digits of a phone or card; disguised at and dot signs become
 ``@`` and ``.``.  The patterns run again on the rewritten text, and matches that
 touch a rewritten place are mapped back and added.  All scans are linear in the text.
 
@@ -64,15 +65,24 @@ ODD = re.compile("[" + re.escape(_odd) + r"！-～]|(?![0-9])\d")
 _word = "|".join(sorted(map(re.escape, SPELLED), key=len, reverse=True))
 SPELLED_NUMBER = re.compile(rf"(?<!\w)(?:plus[ -])?(?:{_word})(?:[ -](?:{_word})){{{SPELLED_RUN - 1},}}(?!\w)", re.I)
 SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_word}|plus)(?!\w)", re.I)
-SPELLED_QUAD = re.compile(
-    rf"(?<!\w)(?:(?:{_word})(?:[ -](?:{_word})){{0,2}} dot ){{3}}(?:{_word})(?:[ -](?:{_word})){{0,2}}(?!\w)", re.I
-)
+_part = rf"(?:{_word}|[0-9]{{1,3}})(?:[ -](?:{_word})){{0,2}}"
+SPELLED_QUAD = re.compile(rf"(?<!\w)(?:{_part} dot ){{3}}{_part}(?!\w)", re.I)
+#: Parts of a number in words and numerals, what may lie between two of them, and the fewest digits of a card or phone.
+NUMBER_PART = re.compile(rf"(?<!\w)(?:{_word}|plus)(?!\w)|(?<!\w)\+?[0-9]++(?!\w)", re.I)
+BESIDE_WORD = re.compile(r"[\s,()-]{1,6}")
+BETWEEN = re.compile(r"[,()-]")
+BESIDE_NUMERAL = re.compile(r"[\x20().-]{1,3}")
+LEAST_DIGITS = 10
 BRACKETED = re.compile(r"\s?[\[({<]\s?(at|arroba|@|dot|punkt|point|punto|\.)\s?[\])}>]\s?", re.I)
 _label = r"[A-Za-z0-9-]+"
 PLAIN_WORDS = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: (?:dot) {_label})*( at |@){_label}((?: dot {_label}|\.{_label})+)", re.I
 )
 DOT_WORD = re.compile(r" dot ", re.I)
+#: A spoken at before a plain domain counts if the local part is like no word: a dot, digit or underscore, and not a year or time.
+AT_DOMAIN = re.compile(r" at [a-z0-9-]+\.[a-z0-9]", re.I)
+PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+ODD_LOCAL = re.compile(r"(?=.*[A-Za-z]).*(?:[0-9_]|\.[A-Za-z])|[0-9]{5,}\Z|.* dot ", re.S | re.I)
 DOTTED_DIGITS = re.compile(r"(?<=[0-9]) dot (?=[0-9])", re.I)
 #: Any of these in the lower-cased text asks for a look at disguised signs.
 SIGN_HINTS = tuple(b + s for b in "[({<" for s in ("at", "arroba", "@", "dot", "punkt", "point", "punto", ".", " at", " dot"))
@@ -161,7 +171,47 @@ def _plain_characters(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), put
 
 
+def _numbers(text: str) -> Iterator[tuple[int, int, list[re.Match]]]:
+    """Runs of spelled digits and numerals with the digits of a card or phone; ``start, end, parts``."""
+    run: list[re.Match] = []
+    for m in [*NUMBER_PART.finditer(text), None]:
+        if run and m and m.group().lower() != "plus" and m.group()[0] != "+":
+            words = not run[-1].group()[-1].isdigit() or not m.group().isdigit()
+            if (BESIDE_WORD if words else BESIDE_NUMERAL).fullmatch(text, run[-1].end(), m.start()):
+                run.append(m)
+                continue
+        spelled = [x for x in run if x.group().lower() in SPELLED]
+        if spelled and len(spelled) + sum(c.isdigit() for x in run for c in x.group()) >= LEAST_DIGITS:
+            # A number that is whole in numerals is no longer for a word beside it.
+            a, b = run[0].start(), run[-1].end()
+            if len(spelled) == len(run) or not any(k > 1 for _, k, _ in find_plain(text[a:b])):
+                yield a, b, run
+        run = [m] if m else []
+
+
 def _digits(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits of numbers by their digits, and of runs and quads of spelled digits."""
+    edits, taken = [], []
+    for a, b, parts in _numbers(text):
+        taken.append((a, b))
+        for x, y in zip(parts, [*parts[1:], None], strict=True):
+            if not x.group()[-1].isdigit():
+                edits.append((x.start(), x.end(), SPELLED.get(x.group().lower(), "+")))
+            if y and not (x.group()[-1].isdigit() and y.group().isdigit()):
+                edits.append((x.end(), y.start(), ""))
+    last = at = 0
+    for a, b, put in _runs(text):
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if at == len(taken) or b <= taken[at][0]:
+            edits.append((a, b, put))
+    for a, b, put in sorted(edits):
+        if a >= last:
+            yield a, b, put
+            last = b
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, str]]:
     runs = sorted({(m.start(), m.end()) for p in (SPELLED_NUMBER, SPELLED_QUAD) for m in p.finditer(text)})
     last = 0
     for a, b in runs:
@@ -184,6 +234,8 @@ def _spoken_signs(text: str) -> Iterator[tuple[int, int, str]]:
     edits = [(m.start(), m.end(), ".") for m in DOTTED_DIGITS.finditer(text)]
     for m in PLAIN_WORDS.finditer(text):
         spoken = m.group(1) == "@" or DOT_WORD.search(m.group(2))
+        if not spoken:
+            spoken = PLAIN_DOMAIN.fullmatch(text, m.end(1), m.end()) and ODD_LOCAL.match(text[m.start() : m.start(1)])
         if spoken and (m.group(1) != "@" or DOT_WORD.search(m.group())):
             edits.append((m.start(1), m.end(1), "@"))
             edits += [(d.start(), d.end(), ".") for d in DOT_WORD.finditer(text, m.start(), m.end())]
@@ -199,8 +251,8 @@ def find_disguised(text: str) -> list[tuple[int, int, int]]:
     low = text.lower()
     odd = not text.isascii() and ODD.search(text)
     signs = any(h in low for h in SIGN_HINTS) if any(b in low for b in "[({<") else False
-    spoken = " dot " in low
-    spelled = not SPELLED.keys().isdisjoint(low.replace("-", " ").split())
+    spoken = " dot " in low or (" at " in low and AT_DOMAIN.search(low) is not None)
+    spelled = not SPELLED.keys().isdisjoint(BETWEEN.sub(" ", low).split())
     if not (odd or signs or spoken or spelled):
         return []
     tape = Tape(text)

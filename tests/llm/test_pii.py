@@ -106,3 +106,45 @@ def test_queries(spark):
     assert out.columns == df.columns and out.where("text IS NULL").count() == 1
     assert {r["text"] for r in out.collect()} == {None, "", "<EMAIL> <IP>", "<EMAIL>", "é <EMAIL>"}
     assert P.find(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,kind,part",
+    [
+        ("write john.doe at example.com please", "email", "john.doe at example.com"),
+        ("write john dot doe at example.com.", "email", "john dot doe at example.com"),
+        ("write john_99 at mail.example.co.uk, or", "email", "john_99 at mail.example.co.uk"),
+        ("pay 4111 one one one one 1111 one one one 1 now", "card", "4111 one one one one 1111 one one one 1"),
+        ("pay four, one, one, one, 1111 1111 1111", "card", "four, one, one, one, 1111 1111 1111"),
+        ("pay four one one one\none one one one  one one one one one one one one.", "card", "four one one one\none one one one  one one one one one one one one"),
+        ("ring plus one, (five five five) 123 45 six seven ok", "phone", "plus one, (five five five) 123 45 six seven"),
+        ("ring +1 555 one two 3 four five 67 ok", "phone", "+1 555 one two 3 four five 67"),
+        ("host 10 dot zero dot zero dot one up", "ip", "10 dot zero dot zero dot one"),
+    ],
+)
+def test_mixed_disguises(text, kind, part):
+    assert (kind, part) in spans(text)
+    assert part not in P.redact_text(text) and f"<{kind.upper()}>" in P.redact_text(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "look at example.com or in 2024 at example.com, at 12.30 at example.com",
+        "we met. at example.com there is v1 at 3.5 percent",
+        "in 2001, 1999, 1847 and one of two",
+        "one, two, three, four, five, six, seven, eight, nine",
+    ],
+)
+def test_words_and_numbers_are_clean(text):
+    assert P.find_all(text) == ([], [])
+
+
+def test_a_plain_number_takes_no_word_beside_it():
+    for text in ("+1 555 123 4567 one more", "one 4111 1111 1111 1111 two"):
+        assert P.find_all(text)[1] == P.find_all(text)[0] != []
+
+
+def test_long_mixed_texts_are_linear():
+    for text in ("1 one " * 30_000, "one, " * 50_000, "a.b at " * 30_000, "a.b at c." * 20_000, "1 " * 50_000 + "one", "plus " * 50_000):
+        P.find_all(text)
