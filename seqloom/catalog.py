@@ -263,6 +263,22 @@ def value_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers.select("seq_id", encode.value_digits(F.col("k")).alias("digits"), encode.value_digits(F.col("k"), True).alias("canonical"))
 
 
+def _at_every_position(k: int) -> str:
+    return f"p AS (SELECT seq_id, pos, substr(seq, CAST(pos + 1 AS INTEGER), {k}) AS k FROM (SELECT seq_id, seq, unnest(range(length(seq) - {k - 1})) AS pos FROM seqs WHERE length(seq) >= {k}))"
+
+
+# ambiguous_kmers and value_digits look at the first k-mer of a sequence, these at every one.
+@query("ambiguous_kmers_everywhere", f"WITH {oracle.dna(keep_n=True)}, {_at_every_position(21)} SELECT seq_id, pos, regexp_matches(k, '[^ACGTacgt]') AS ambiguous FROM p")
+def ambiguous_kmers_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.kmer_flags_and_digits(sequences(spark, sf_dir, keep_n=True), 21, False)
+
+
+@query("value_digits_everywhere", f"""WITH {oracle.dna()}, {_at_every_position(64)}
+SELECT seq_id, pos, {DIGITS.format(s='k')} AS digits, least({DIGITS.format(s='k')}, {DIGITS.format(s="translate(reverse(k), 'ACGT', 'TGCA')")}) AS canonical FROM p""")
+def value_digits_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.kmer_flags_and_digits(sequences(spark, sf_dir), 64, True)
+
+
 @query("jumping_minimizers", "WITH RECURSIVE " + ",\n".join([oracle.dna(), oracle.bases(), oracle.kmers("nt", 5), oracle.windows(5, 7)]) + """,
 jumps AS (
   SELECT seq_id, n, pos FROM chosen WHERE win = 0 AND n - 11 > 0

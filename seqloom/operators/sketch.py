@@ -293,3 +293,42 @@ def super_kmer_strings(sketched: DataFrame, sequences: DataFrame) -> DataFrame:
     joined = sketched.join(sequences.select("seq_id", "seq"), "seq_id")
     text: Column = F.substring(F.col("seq"), (F.col("sk_start") + 1).cast("int"), (F.col("sk_end") - F.col("sk_start")).cast("int"))
     return joined.select("seq_id", "ord", text.alias("super_kmer"))
+
+
+def kmer_flags_and_digits(df: DataFrame, k: int, digits: bool) -> DataFrame:
+    """``seq_id, pos`` of every k-mer, with ``ambiguous``, or with ``digits, canonical`` as base-4 digits of its value."""
+    ship(df.sparkSession)
+    step = 1 << 14
+
+    def run(batches):
+        import pyarrow as pa
+
+        from seqloom.functions.encode import CODES
+
+        for batch in batches:
+            for at, text in enumerate(batch.column(1)):
+                seq = (text.as_py() or "").upper()
+                if len(seq) < k:
+                    continue
+                if digits:
+                    ahead = seq.translate(str.maketrans("ACTG", "0123"))
+                    back, other = ahead[::-1], seq.translate(str.maketrans("ACTG", "2301"))
+                else:
+                    letters = np.frombuffer(seq.encode("ascii", "replace"), np.uint8)
+                    odd = np.concatenate([[0], np.cumsum(CODES[letters] > 3)])
+                for lo in range(0, len(seq) - k + 1, step):
+                    hi = min(lo + step, len(seq) - k + 1)
+                    owner = batch.column(0).take(pa.array(np.full(hi - lo, at)))
+                    arrays, names = [owner, pa.array(np.arange(lo, hi), pa.int64())], ["seq_id", "pos"]
+                    if digits:
+                        own = [back[len(seq) - i - k : len(seq) - i] for i in range(lo, hi)]
+                        arrays += [pa.array(own), pa.array([min(x, other[i : i + k]) for i, x in enumerate(own, lo)])]
+                        names += ["digits", "canonical"]
+                    else:
+                        arrays.append(pa.array(odd[lo + k : hi + k] > odd[lo:hi]))
+                        names.append("ambiguous")
+                    yield pa.record_batch(arrays, names=names)
+
+    kind = df.schema["seq_id"].dataType.simpleString()
+    columns = "digits string, canonical string" if digits else "ambiguous boolean"
+    return df.select("seq_id", "seq").mapInArrow(run, f"seq_id {kind}, pos long, {columns}")

@@ -137,3 +137,22 @@ def test_scalar_encodings(spark):
         s = ("ACTTG" * 13)[:n]
         got = spark.createDataFrame([(s,)], "s string").select(encode.kmer_value(F.col("s"), n).cast("string")).first()[0]
         assert int(got) == sum("ACTG".index(c) << 2 * j for j, c in enumerate(s))
+
+
+def test_every_kmer_is_flagged_and_has_digits(spark):
+    import random
+
+    from seqloom.functions import encode
+    from seqloom.operators import sketch
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choices("ACGT" * 9 + "N", k=n))) for i, n in enumerate((0, 20, 21, 63, 64, 300))] + [(6, None)]
+    flags = {(r[0], r[1]): r[2] for r in sketch.kmer_flags_and_digits(spark.createDataFrame(rows, "seq_id long, seq string"), 21, False).collect()}
+    assert flags == {(i, p): "N" in s[p : p + 21] for i, s in rows if s for p in range(len(s) - 20)} and any(flags[5, p] for p in range(21, 280))
+    rows = [(i, s.replace("N", "A") if s else s) for i, s in rows]
+    got = {(r[0], r[1]): (r[2], r[3]) for r in sketch.kmer_flags_and_digits(spark.createDataFrame(rows, "seq_id long, seq string"), 64, True).collect()}
+    kmers = [(i, p, s[p : p + 64]) for i, s in rows if s for p in range(len(s) - 63)]
+    column = F.col("k")
+    want = spark.createDataFrame(kmers, "i long, p long, k string").select("i", "p", encode.value_digits(column), encode.value_digits(column, True))
+    assert got == {(r[0], r[1]): (r[2], r[3]) for r in want.collect()} and len(got) == 238
