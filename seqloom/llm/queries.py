@@ -195,7 +195,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
 
 
-#: Items as question and answer, BM25 of every passage of two segments, overlap of shingles where most words agree.
+#: Items as question and answer, BM25 of every passage of two segments of the item's band, overlap of shingles where most words agree.
 OP10_SQL = r"""
 WITH i AS (
   SELECT item_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[\p{L}\p{N}_]')) AS lines,
@@ -205,36 +205,40 @@ j AS (
   SELECT item_id, CASE WHEN len(lines) > 1 THEN array_to_string(lines[1:len(lines) - 1], chr(10)) WHEN two THEN head ELSE text END AS q,
     CASE WHEN len(lines) > 1 THEN lines[len(lines)] WHEN two THEN tail ELSE '' END AS a
   FROM (SELECT *, regexp_matches(head, '[\p{L}\p{N}_]') AND regexp_matches(tail, '[\p{L}\p{N}_]') AS two FROM i)),
-w AS (
+v AS (
   SELECT row_number() OVER () AS n, item_id, regexp_extract_all(lower(q), '[\p{L}\p{N}_]+') AS q, regexp_extract_all(lower(a), '[\p{L}\p{N}_]+') AS a FROM j),
-items AS (SELECT *, len(q) + len(a) AS size FROM w WHERE len(q) + len(a) >= 5),
+w AS (
+  SELECT n, item_id, len(q) + len(a) AS size, CASE WHEN len(q) + len(a) < 5 THEN list_concat(q, a) ELSE q END AS q,
+    CASE WHEN len(q) + len(a) < 5 THEN [] ELSE a END AS a FROM v),
+items AS (SELECT *, CAST(greatest(16, pow(2, ceil(log2(size)))) AS BIGINT) AS seg FROM w WHERE size > 0),
 parts AS (
-  SELECT n, item_id, list_concat(q, a) AS words, size, least(5, len(q)) AS wq, least(5, len(a)) AS wa,
+  SELECT n, item_id, list_concat(q, a) AS words, size, seg, least(5, len(q)) AS wq, least(5, len(a)) AS wa,
     list_distinct(list_transform(range(1, len(q) - least(5, len(q)) + 2), lambda k: array_to_string(q[k:k + least(5, len(q)) - 1], ' '))) AS sq,
     CASE WHEN len(a) > 0 THEN list_distinct(list_transform(range(1, len(a) - least(5, len(a)) + 2), lambda k: array_to_string(a[k:k + least(5, len(a)) - 1], ' '))) ELSE [] END AS sa
   FROM items),
-stats AS (SELECT count(*) AS n_items, avg(size) AS mean, max(size) AS seg FROM items),
-tf AS (SELECT n, size, t, count(*) AS f FROM (SELECT n, size, unnest(words) AS t FROM parts) GROUP BY ALL),
+stats AS (SELECT count(*) AS n_items, avg(size) AS mean FROM items),
+bands AS (SELECT DISTINCT seg FROM items),
+tf AS (SELECT n, size, seg, t, count(*) AS f FROM (SELECT n, size, seg, unnest(words) AS t FROM parts) GROUP BY ALL),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 impact AS (
-  SELECT n, t, ln(1 + (n_items - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean)) AS s, count(*) OVER (PARTITION BY n) AS terms
+  SELECT n, seg, t, ln(1 + (n_items - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean)) AS s, count(*) OVER (PARTITION BY n) AS terms
   FROM tf JOIN df USING (t) CROSS JOIN stats),
-docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents),
+docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents),
 passages AS (
-  SELECT doc_id, k, words[k * seg + 1:(k + 2) * seg] AS words
-  FROM docs CROSS JOIN stats, unnest(range(greatest(CAST(ceil(len(words) / seg) AS BIGINT) - 1, 1))) AS u(k) WHERE len(words) > 0),
-terms AS (SELECT DISTINCT doc_id, k, unnest(words) AS t FROM passages),
-scored AS (SELECT doc_id, k, n, sum(s) AS score FROM terms JOIN impact USING (t) GROUP BY doc_id, k, n, terms HAVING 2 * count(*) >= terms),
+  SELECT d, doc_id, seg, k, words[k * seg + 1:(k + 2) * seg] AS words
+  FROM docs CROSS JOIN bands, unnest(range(greatest(CAST(ceil(len(words) / seg) AS BIGINT) - 1, 1))) AS u(k) WHERE len(words) > 0),
+terms AS (SELECT DISTINCT d, seg, k, unnest(words) AS t FROM passages),
+scored AS (SELECT d, seg, k, n, sum(s) AS score FROM terms JOIN impact USING (t, seg) GROUP BY d, seg, k, n, terms HAVING 2 * count(*) >= terms),
 held AS (
-  SELECT doc_id, item_id, n, score, sq, sa,
+  SELECT d, doc_id, item_id, n, score, sq, sa,
     list_transform(range(1, len(p.words) - wq + 2), lambda k: array_to_string(p.words[k:k + wq - 1], ' ')) AS pq,
     list_transform(range(1, len(p.words) - wa + 2), lambda k: array_to_string(p.words[k:k + wa - 1], ' ')) AS pa
-  FROM scored JOIN passages p USING (doc_id, k) JOIN parts USING (n)),
+  FROM scored JOIN passages p USING (d, seg, k) JOIN parts USING (n)),
 judged AS (
-  SELECT doc_id, item_id, n, score, len(list_filter(sq, lambda x: list_contains(pq, x))) / len(sq) AS oq,
+  SELECT d, doc_id, item_id, n, score, len(list_filter(sq, lambda x: list_contains(pq, x))) / len(sq) AS oq,
     CASE WHEN len(sa) = 0 THEN 1.0 ELSE len(list_filter(sa, lambda x: list_contains(pa, x))) / len(sa) END AS oa
   FROM held),
-best AS (SELECT doc_id, item_id, n, max({'s': score, 'q': oq, 'a': oa}) AS m FROM judged WHERE oq >= 0.8 - 1e-9 AND oa >= 0.8 - 1e-9 GROUP BY doc_id, item_id, n)
+best AS (SELECT d, doc_id, item_id, n, max({'s': score, 'q': oq, 'a': oa}) AS m FROM judged WHERE oq >= 0.8 - 1e-9 AND oa >= 0.8 - 1e-9 GROUP BY d, doc_id, item_id, n)
 SELECT doc_id, item_id, round(m.s, 6) AS score, round(m.q, 6) AS question_overlap, round(CAST(m.a AS DOUBLE), 6) AS answer_overlap FROM best
 """
 
