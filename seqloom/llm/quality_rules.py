@@ -16,8 +16,10 @@ hot groups.  Repeated words are found inside each row by sorting 64-bit hashes o
 3-word windows, so no text or word is ever shuffled.
 
 Defined cases: a null text has no words (and fails the base rule); null languages and
-sources are groups of their own; repeated rows are judged alike; other columns pass
-through ``judge`` unless they have the name of a result column, which then wins.
+sources are groups of their own; repeated rows are judged alike; an empty table gives no rows.  Other
+columns pass through whatever their names are: a row travels as one struct beside the columns that are
+made here.  Where one has the name of a result column, ``judge`` gives the result; ``keep_good`` gives
+every column of the documents as it was.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ BROADCAST_GROUPS = 100_000
 #: ratio -> (least width of the quartile distance, whether low values are rejected too)
 RATIOS = {"symbols_pm": (10, False), "dup_lines_pm": (150, False), "word_len_pc": (50, True)}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+RESULTS = (*BASE, *RATIOS, "base_failed", "kept")
 
 
 def _cheap(docs: DataFrame) -> DataFrame:
@@ -115,16 +118,20 @@ def thresholds(docs: DataFrame) -> DataFrame:
     return sketched.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *bounds)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base counts, the three ratios, ``base_failed`` and ``kept``."""
-    docs = docs.drop(*BASE, *RATIOS, "base_failed", "kept")
+def _named(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """The results, and each row of ``docs`` as the struct ``doc``."""
     limits = checkpointed(thresholds(docs))
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    joined = docs.join(
+    row = F.struct(*[F.col(_named(c)).alias(c) for c in docs.columns])
+    joined = docs.select(row.alias("doc"), "text", "lang", "source").join(
         limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left"
     )
-    measured = _repeats(_with_ratios(_cheap(joined))).drop("_words", "_n_lines")
+    measured = _repeats(_with_ratios(_cheap(joined)))
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
@@ -137,4 +144,19 @@ def judge(docs: DataFrame) -> DataFrame:
     # steps above, where their expressions would be copied into one another.
     barrier = F.spark_partition_id() >= 0
     judged = measured.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & inside & barrier)
-    return judged.drop(*limits.columns)
+    return judged.select("doc", *RESULTS)
+
+
+def _row(docs: DataFrame) -> list[Column]:
+    return [F.col("doc").getField(c).alias(c) for c in docs.columns]
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """``docs`` with the base counts, the three ratios, ``base_failed`` and ``kept``."""
+    own = [x for c, x in zip(docs.columns, _row(docs), strict=True) if c.lower() not in RESULTS]
+    return _judged(docs).select(*own, *RESULTS)
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns of ``docs`` and no others."""
+    return _judged(docs).where("kept").select(_row(docs))

@@ -79,3 +79,17 @@ def test_clashing_columns(spark, column):
     rows = [(1, "word " * 60, "en", "s", "mine")]
     out = Q.judge(spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {column} string"))
     assert out.columns.count(column) == 1 and out.first()["n_words"] == 60
+
+
+def test_any_column_passes_through(spark):
+    names = ["_lang", "_source", "_max_symbols_pm", "_words", "_lines", "_n_lines", "_grams", "_at", "doc", "a.b", "c`d", "N_WORDS", "kept"]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    rows = [(i, t, "en", "s", *[f"{n} {i}" for n in names]) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(rows, schema)
+    judged = Q.judge(df)
+    assert [c for c in judged.columns if c in df.columns] == [c for c in df.columns if c not in ("N_WORDS", "kept")] + ["kept"]
+    plain = {r["doc_id"]: r["kept"] for r in Q.judge(df.select("doc_id", "text", "lang", "source")).collect()}
+    assert {r["doc_id"]: r["kept"] for r in judged.collect()} == plain
+    good = Q.keep_good(df)
+    assert good.columns == df.columns
+    assert sorted(tuple(r) for r in good.collect()) == sorted(r for r in rows if plain[r[0]])
