@@ -1,12 +1,20 @@
 """Personal data in plain and disguised form, with offsets into the source text.
 
 Plain forms are found by fixed patterns (leftmost, non-overlapping, failing matches dropped).
-For disguised forms a chain of transducers rewrites the text and keeps, for every character
-written, the source characters it stands for: look-alike characters and foreign digits become
-ASCII and invisible ones vanish; spelled digits become digits, three in a row or as parts of a number that
-with its numerals has the digits of a phone or card; disguised at and dot signs become
-``@`` and ``.``.  The patterns run again on the rewritten text, and matches that
-touch a rewritten place are mapped back and added.  All scans are linear in the text.
+For disguised forms a chain of transducers, each one pass from left to right, rewrites the text and
+keeps, for every character written, the source characters it stands for:
+
+1. characters: what Unicode's compatibility and canonical forms, letter names and categories make of a character
+   (full width, mathematical, circled, accented, foreign digits, spaces, dashes), and look-alikes of other
+   scripts become ASCII; invisible characters vanish;
+2. spelled digits become digits, three in a row or as parts of a number that with its numerals has the
+   digits of a phone or card;
+3. bracketed at and dot signs become ``@`` and ``.``;
+4. spoken ones do in chains of words joined by *dot* and *at*: from the last at sign of a chain to the first, one with a
+   domain after it and a local part before it becomes an address.
+
+The patterns run again on the rewritten text, and matches that touch a rewritten place are mapped back and
+merged with the plain ones.  All scans are linear in the text.
 
 Defined cases: a null text is empty; null and repeated ids give one row each; plain spans always
 stay, and a disguised span is added unless a plain one of its kind holds it (one that reaches further, as
@@ -18,6 +26,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,15 +45,49 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-# Characters that look like ASCII letters or signs.
+# Letters and signs of other scripts that look like ASCII ones (Cyrillic, Greek, Armenian, signs).
 LOOK_ALIKE = dict(
     zip(
-        "АВЕКМНОРСТУХаеорсухіјѕԁ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαονρ" + "․﹒。﹫∙",
-        "ABEKMHOPCTYXaeopcyxijsd" + "ABEZHIKMNOPTYXaovp" + "...@.",
+        "АВЕКМНОРСТУХаеорсухіјѕԁһԛԝѵүкгЅІЈԚԜҮӏӀ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαονρικτυγηε" + "օոսհցյզՏԼՍՕ" + "。∙·•",
+        "ABEKMHOPCTYXaeopcyxijsdhqwvykrSIJQWYlI" + "ABEZHIKMNOPTYXaovpiktuyne" + "onuhgjqSLUO" + "....",
         strict=True,
     )
 )
-INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+INVISIBLE = re.compile("[\u00ad\u0300-\u036f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+SIGNS = "@.+-_%()"
+LETTER_NAME = re.compile(r"LATIN (?:(SMALL|CAPITAL) LETTER (?:DOTLESS |SCRIPT )?|LETTER (SMALL) CAPITAL )([A-Z])(?: WITH .+)?")
+
+
+def plain_character(c: str) -> str:
+    """The ASCII character that ``c`` can be read as, or ``c``."""
+    if c in LOOK_ALIKE:
+        return LOOK_ALIKE[c]
+    if c.isdecimal():
+        return str(unicodedata.decimal(c))
+    kind = unicodedata.category(c)
+    if kind in ("Zs", "Pd"):
+        return " " if kind == "Zs" else "-"
+    if unicodedata.decomposition(c).startswith(("<super>", "<sub>", "<fraction>")):
+        return c
+    one = unicodedata.normalize("NFKC", c)
+    if len(one) == 1 and one.isascii() and (one.isalnum() or one in SIGNS):
+        return one
+    base, *marks = unicodedata.normalize("NFKD", c)
+    if marks and base.isascii() and base.isalpha() and all(map(unicodedata.combining, marks)):
+        return base
+    m = LETTER_NAME.fullmatch(unicodedata.name(c, ""))
+    return c if m is None else m[3] if m[1] == "CAPITAL" else m[3].lower()
+
+
+class Characters(dict):
+    """The character transducer, for ``str.translate``: code points, looked up when first met."""
+
+    def __missing__(self, code: int) -> int:
+        put = self[code] = ord(plain_character(chr(code))) if code > 127 else code
+        return put
+
+
+CHARACTERS = Characters()
 
 # Digits in words, in four languages.
 SPELLED = {
@@ -55,13 +98,12 @@ SPELLED = {
         "zéro un deux trois quatre cinq six sept huit neuf",
         "cero uno dos tres cuatro cinco seis siete ocho nueve",
     )
-    for d, w in enumerate(words.split())
+    for d, word in enumerate(words.split())
+    for w in {word, word.translate(CHARACTERS)}
 }
 #: So many spelled digits in a row are taken as a number.
 SPELLED_RUN = 3
 
-_odd = "".join(LOOK_ALIKE) + INVISIBLE
-ODD = re.compile("[" + re.escape(_odd) + r"！-～]|(?![0-9])\d")
 _word = "|".join(sorted(map(re.escape, SPELLED), key=len, reverse=True))
 SPELLED_NUMBER = re.compile(rf"(?<!\w)(?:plus[ -])?(?:{_word})(?:[ -](?:{_word})){{{SPELLED_RUN - 1},}}(?!\w)", re.I)
 SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_word}|plus)(?!\w)", re.I)
@@ -74,11 +116,11 @@ BETWEEN = re.compile(r"[,()-]")
 BESIDE_NUMERAL = re.compile(r"[\x20().-]{1,3}")
 LEAST_DIGITS = 10
 BRACKETED = re.compile(r"\s?[\[({<]\s?(at|arroba|@|dot|punkt|point|punto|\.)\s?[\])}>]\s?", re.I)
-_label = r"[A-Za-z0-9-]+"
-PLAIN_WORDS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?: (?:dot) {_label})*( at |@){_label}((?: dot {_label}|\.{_label})+)", re.I
-)
-DOT_WORD = re.compile(r" dot ", re.I)
+#: Words joined by spoken or written signs, and the signs.
+CHAIN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?: dot | at |@)[A-Za-z0-9._%+-]++)++", re.I)
+JOINT = re.compile(r" dot | at |@", re.I)
+LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
+LABEL = re.compile(r"[A-Za-z0-9-]+")
 #: A spoken at before a plain domain counts if the local part is like no word: a dot, digit or underscore, and not a year or time.
 AT_DOMAIN = re.compile(r" at [a-z0-9-]+\.[a-z0-9]", re.I)
 PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -111,7 +153,7 @@ def find_plain(text: str) -> list[tuple[int, int, int]]:
     if DIGIT.search(text):
         if text.count(".") >= 3:
             for m in IP.finditer(text):
-                if "." in (g := m.group()) and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in g.split(".")):
+                if "." in (g := m.group()) and all(len(p) < 3 or len(p) == 3 and p <= "255" for p in (x.lstrip("0") for x in g.split("."))):
                     found.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             if 14 <= m.end() - m.start():
@@ -126,13 +168,13 @@ def find_plain(text: str) -> list[tuple[int, int, int]]:
 
 
 class Tape:
-    """A text under rewriting; each character knows its source span."""
+    """A text under rewriting, as long as its source at first; each character knows its source span."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, source: str):
         self.text = text
         self.start = list(range(len(text)))
         self.end = list(range(1, len(text) + 1))
-        self.new = bytearray(len(text))
+        self.new = bytearray(len(text)) if text == source else bytearray(map(str.__ne__, text, source))
 
     def rewrite(self, edits: Iterator[tuple[int, int, str]]) -> None:
         """Replaces each ``text[a:b]`` by a string of at most one character; ordered, disjoint.
@@ -157,18 +199,9 @@ class Tape:
             self.start, self.end, self.new = start + self.start[last:], end + self.end[last:], new + self.new[last:]
 
 
-def _plain_characters(text: str) -> Iterator[tuple[int, int, str]]:
-    for m in ODD.finditer(text):
-        c = m.group()
-        if c in INVISIBLE:
-            put = ""
-        elif c in LOOK_ALIKE:
-            put = LOOK_ALIKE[c]
-        elif "！" <= c <= "～":
-            put = chr(ord(c) - 0xFEE0)
-        else:
-            put = str(unicodedata.decimal(c))
-        yield m.start(), m.end(), put
+def _invisible(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in INVISIBLE.finditer(text):
+        yield m.start(), m.end(), ""
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int, list[re.Match]]]:
@@ -230,17 +263,48 @@ def _signs(text: str) -> Iterator[tuple[int, int, str]]:
         yield m.start(), m.end(), "@" if m.group(1).lower() in ("at", "arroba", "@") else "."
 
 
+def _addresses(text: str, a: int, b: int) -> Iterator[tuple[int, int, str]]:
+    """Edits of the spoken signs of addresses in a chain; from the last at sign to the first, words belong to one address only."""
+    joints = list(JOINT.finditer(text, a, b))
+    starts, ends = [a, *(m.end() for m in joints)], [*(m.start() for m in joints), b]
+    spoken = [len(m.group()) == 5 for m in joints]  # a dot
+    limit = len(starts)
+    for j in range(len(joints) - 1, -1, -1):
+        if spoken[j]:
+            continue
+        # The domain: labels in words after the sign, up to the next at sign or address.
+        last, stop = j, starts[j + 1]
+        while last + 1 < limit and (last == j or spoken[last]) and (m := LABELS.match(text, starts[last + 1], ends[last + 1])):
+            last, stop = last + 1, m.end()
+            if stop < ends[last]:
+                break
+        first = j
+        while first and spoken[first - 1] and LABEL.fullmatch(text, starts[first], ends[first]):
+            first -= 1
+        if last == j:
+            pass
+        elif joints[j].group() == "@":
+            accepted = (last > j + 1 or first < j) and (last > j + 1 or "." in text[starts[j + 1] : stop])
+        elif last > j + 1:
+            accepted = True
+        else:
+            accepted = PLAIN_DOMAIN.fullmatch(text, starts[j + 1], stop) and ODD_LOCAL.match(text[starts[first] : ends[j]])
+        if last > j and accepted:
+            yield joints[j].start(), joints[j].end(), "@"
+            for m in joints[first:last]:
+                if len(m.group()) == 5:
+                    yield m.start(), m.end(), "."
+            limit = first
+        else:
+            limit = min(limit, j + 1)
+
+
 def _spoken_signs(text: str) -> Iterator[tuple[int, int, str]]:
-    edits = [(m.start(), m.end(), ".") for m in DOTTED_DIGITS.finditer(text)]
-    for m in PLAIN_WORDS.finditer(text):
-        spoken = m.group(1) == "@" or DOT_WORD.search(m.group(2))
-        if not spoken:
-            spoken = PLAIN_DOMAIN.fullmatch(text, m.end(1), m.end()) and ODD_LOCAL.match(text[m.start() : m.start(1)])
-        if spoken and (m.group(1) != "@" or DOT_WORD.search(m.group())):
-            edits.append((m.start(1), m.end(1), "@"))
-            edits += [(d.start(), d.end(), ".") for d in DOT_WORD.finditer(text, m.start(), m.end())]
+    edits = {(m.start(), m.end(), ".") for m in DOTTED_DIGITS.finditer(text)}
+    for m in CHAIN.finditer(text):
+        edits.update(_addresses(text, m.start(), m.end()))
     last = 0
-    for a, b, put in sorted(set(edits)):
+    for a, b, put in sorted(edits):
         if a >= last:
             yield a, b, put
             last = b
@@ -248,16 +312,18 @@ def _spoken_signs(text: str) -> Iterator[tuple[int, int, str]]:
 
 def find_disguised(text: str) -> list[tuple[int, int, int]]:
     """Matches on the rewritten text that touch a rewritten place, in source offsets."""
-    low = text.lower()
-    odd = not text.isascii() and ODD.search(text)
+    ascii_only = text.isascii()
+    plain = text if ascii_only else text.translate(CHARACTERS)
+    low = plain.lower()
+    invisible = not ascii_only and INVISIBLE.search(plain)
     signs = any(h in low for h in SIGN_HINTS) if any(b in low for b in "[({<") else False
     spoken = " dot " in low or (" at " in low and AT_DOMAIN.search(low) is not None)
     spelled = not SPELLED.keys().isdisjoint(BETWEEN.sub(" ", low).split())
-    if not (odd or signs or spoken or spelled):
-        return []
-    tape = Tape(text)
-    if odd:
-        tape.rewrite(_plain_characters(tape.text))
+    if not (invisible or signs or spoken or spelled):
+        return [] if plain == text else [(a, k, b) for a, k, b in find_plain(plain) if plain[a:b] != text[a:b]]
+    tape = Tape(plain, text)
+    if invisible:
+        tape.rewrite(_invisible(tape.text))
     tape.rewrite(_digits(tape.text))
     tape.rewrite(_signs(tape.text))
     tape.rewrite(_spoken_signs(tape.text))
@@ -268,8 +334,19 @@ def find_disguised(text: str) -> list[tuple[int, int, int]]:
 
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and those with the disguised ones added."""
-    base = find_plain(text)
-    extra = [s for s in find_disguised(text) if not any(k == s[1] and a <= s[0] and s[2] <= b for a, k, b in base)]
+    base, extra = find_plain(text), find_disguised(text)
+    if not extra:
+        return base, base
+    # Spans of one kind don't overlap, so only the last that starts before can hold another.
+    own: list[list[tuple[int, int]]] = [[] for _ in KINDS]
+    for a, k, b in base:
+        own[k].append((a, b))
+
+    def held(a: int, k: int, b: int) -> bool:
+        at = bisect_right(own[k], a, key=lambda s: s[0])
+        return at > 0 and b <= own[k][at - 1][1]
+
+    extra = [x for x in extra if not held(*x)]
     return base, sorted([*base, *extra]) if extra else base
 
 

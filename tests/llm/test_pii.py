@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -89,9 +90,45 @@ def test_base_spans_stay():
             assert not any((x, kk, y) != (a, k, b) and kk == k and x <= a and b <= y for x, kk, y in base)
 
 
-def test_long_texts_are_linear():
-    for text in ("1" * 300_000, "a" * 300_000 + "@", "@a" * 100_000, "+1" + " " * 300_000, "1." * 100_000, "one " * 50_000, "a dot " * 30_000, "(at" * 50_000):
-        P.find_all(text)
+LONG = [
+    "1" * 300_000, "a" * 300_000 + "@", "@a" * 100_000, "+1" + " " * 300_000, "1." * 100_000, "one " * 50_000, "a dot " * 100_000, "(at" * 50_000,
+    "a at b dot " * 50_000, "dot at " * 50_000, "a@b.co x (at) y (dot) zz " * 50_000, "é" * 300_000, "\u200b" * 100_000 + "x (at) y (dot) zz",
+    "0" * 5_000 + ".1.2.3", "1.2.3." + "0" * 300_000, "9" * 5_000 + ".1.2.3", "a dot " * 100_000 + "at b dot c", "+1 " + "()" * 100_000 + "é",
+]
+
+
+@pytest.mark.parametrize("case", range(len(LONG)))
+def test_long_texts_are_linear(case):
+    began = time.process_time()
+    P.find_all(LONG[case])
+    assert time.process_time() - began < 12
+
+
+def test_parts_of_any_length():
+    assert P.find_plain("0" * 5_000 + ".1.2.3") == [(0, 1, 5_006)]
+    assert P.find_plain("0" * 5_000 + "256.1.2.3 1.2.3.0255 1.2.3.256") == [(5_010, 1, 5_020)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "\U0001d423\U0001d428\U0001d421n@example.com", "joհn@example.com", "ⓙohn@example.com", "jöhn.dø@example.com", "jose\u0301.x@exámple.com",
+        "john@exampłe.com", "john＠example．com", "jοhn@example.com", "ɪohn@example.com", "+１ ９８８ ٥٥٥ 2485", "+1\u00a0988\u00a0555\u20112485", "4111\u00a01111–1111 1111",
+    ],
+)
+def test_look_alikes(text):
+    found = P.find_all("x " + text + " y")[1]
+    assert any(b == len(text) + 2 for _, _, b in found), found
+
+
+def test_characters():
+    assert [P.plain_character(c) for c in "éÉñ①ａ𝐀ı²½ｱ漢ß\u00a0—"] == [*"eEn1aAi²½ｱ漢ß -"]
+    assert "zéro fünf".translate(P.CHARACTERS) == "zero funf" and {"funf", "zero"} <= P.SPELLED.keys()
+
+
+def test_last_sign_of_a_chain_wins():
+    assert ("email", "john dot doe at example dot com") in spans("look at john dot doe at example dot com")
+    assert ("email", "a.b at c dot de") in spans("x dot y or a.b at c dot de")
 
 
 def test_queries(spark):
