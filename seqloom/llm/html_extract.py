@@ -16,7 +16,8 @@ Defined cases: a null html is empty and gives an empty text; null ids and urls s
 give equal rows; text outside any block still counts; broken or missing end tags
 never hide an article that starts later; scripts, styles, form values and page titles are no text, nor
 is what buttons, drawings, frames and the like hold, up to their end tag; formulas and the
-content of media elements are text; other columns are ignored.
+content of media elements are text; of several articles on a page the region takes those that score best
+together, which may be one; a ``<`` that no ``>`` follows is text; other columns are ignored.  All scans are linear in the page.
 """
 
 from __future__ import annotations
@@ -108,8 +109,15 @@ def _marks_side(name: str, rest: str) -> bool:
     return False
 
 
+#: A start of a tag or declaration, though not of a comment.
+OPENING = re.compile(r"<(?!!--)")
+
+
 def _matches(page: str) -> Iterator[re.Match]:
     """The tokens of a page; a raw element without an end tag ends where an article starts."""
+    # Nothing that starts after the last ``>`` is a tag, and looking for its end would read the rest each time.
+    end = page.rfind(">") + 1
+    page = page[:end] + OPENING.sub("&lt;", page[end:])
     at, unclosed = 0, frozenset()
     while at is not None:
         start, at = at, None
@@ -126,8 +134,11 @@ def tokens(page: str, marks: bool = True) -> Iterator[tuple[str, str, bool]]:
     White space is text of no words. Side content inside an article is part of its run of tokens, though not of its text.  Without
     ``marks`` only elements mark side content, not classes, ids and roles.
     """
-    stack: list[tuple[str, bool]] = []  # (name, opens side content)
-    side = link = articles = hidden = 0
+    # (name, opens side content, number of articles before).  What an article finds open counts no more for side content
+    # and for what is hidden, but still ends with its end tag.
+    stack: list[tuple[str, bool, int]] = []
+    is_open: Counter = Counter()
+    side = link = articles = hidden = since = 0
     last_end: dict[str, int] | None = None  # of hidden elements
     for m in _matches(page):
         text = m["text"]
@@ -142,14 +153,18 @@ def tokens(page: str, marks: bool = True) -> Iterator[tuple[str, str, bool]]:
             closes = False
             if name == "a":
                 link = 0
-            if name in NESTED and any(n == name for n, _ in stack):
+            if is_open[name]:
                 while stack:
-                    n, s = stack.pop()
-                    side -= s
-                    hidden -= n in HIDDEN
+                    n, s, before = stack.pop()
+                    if n in HIDDEN:
+                        if before < since:
+                            continue
+                        hidden -= 1
+                    is_open[n] -= 1
+                    side -= s and before == since
                     articles -= n in ARTICLE
                     if n == name:
-                        closes = s
+                        closes = s and before == since
                         break
             if not (hidden or name in HIDDEN or name in WEIGHTLESS):
                 yield ("side /" if closes else "/") + name, "", articles > 0 and name not in ARTICLE
@@ -158,21 +173,27 @@ def tokens(page: str, marks: bool = True) -> Iterator[tuple[str, str, bool]]:
             link = 1
         opens = False
         if name in ARTICLE:
-            side, hidden, stack = 0, 0, [(n, False) for n, _ in stack if n not in HIDDEN]
+            side = hidden = 0
+            since += 1
+            for n in HIDDEN:
+                is_open[n] = 0
             articles += 1
-            stack.append((name, False))
+            stack.append((name, False, since))
+            is_open[name] += 1
         elif name in HIDDEN:
             if last_end is None:
                 last_end = {e[1].lower(): e.start() for e in HIDDEN_END.finditer(page)}
             # Without an end tag it holds nothing; those that can't nest end at the next one.
             if not m["rest"].endswith("/") and last_end.get(name, -1) >= m.end():
-                if name in ("svg", "template") or all(n != name for n, _ in stack):
-                    stack.append((name, False))
+                if name in ("svg", "template") or not is_open[name]:
+                    stack.append((name, False, since))
+                    is_open[name] += 1
                     hidden += 1
             continue
         elif name in NESTED and name not in VOID and not m["rest"].endswith("/"):
             opens = (_marks_side(name, m["rest"]) if marks else name in SIDE) and not (name == "header" and articles)
-            stack.append((name, opens))
+            stack.append((name, opens, since))
+            is_open[name] += 1
             side += opens
         if not (hidden or name in WEIGHTLESS):
             yield ("side " + name if opens else name), "", articles > 0 and name not in ARTICLE
@@ -258,14 +279,14 @@ def joined(region: list[tuple[str, str, bool]]) -> str:
     for kind, text, _ in region:
         if text:
             if kind != SIDE_WORD:
-                parts.append(text)
+                parts.append(entities.unescape(text))
         elif (name := kind.rpartition(" ")[2].lstrip("/")) in BLOCKS:
             blocks.append(parts)
             parts = []
         elif name == "br":
             parts.append(" ")
     blocks.append(parts)
-    lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
+    lines = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 
 

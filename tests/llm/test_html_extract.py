@@ -1,5 +1,9 @@
 import html
 import random
+import time
+from html.parser import HTMLParser
+
+import pytest
 
 from seqloom.llm import html_extract as H
 
@@ -146,3 +150,80 @@ def test_rare_labels_are_all_used(spark):
     assert H.train(spark.createDataFrame(rows, SCHEMA), bound=10) == H.train(spark.createDataFrame(labelled, SCHEMA))
     one = H.train(spark.createDataFrame(rows, SCHEMA), bound=1)
     assert one in [H.weights_from(H.count_kinds(p)) for _, _, p, _ in labelled]
+
+
+class Blocks(HTMLParser):
+    """The text of an article, by Python's own parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.inside = [""], False
+        self.feed(page)
+        self.close()
+        self.text = "\n".join(x for x in (" ".join(line.split()) for line in self.lines) if x)
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in H.BLOCKS:
+            self.lines.append("")
+        elif tag == "br":
+            self.lines[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in H.BLOCKS:
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.lines[-1] += data
+
+
+def test_against_another_parser():
+    rng = random.Random(14)
+    word = lambda: rng.choice(["one", "two & 3", "x &lt; y", "&eacute;t&eacute;", "a&nbsp;b", "&#8212;", "&amp;lt;", "caf\u00e9", "&notanentity;"])
+
+    def inline(depth):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            tag = rng.choice(["b", "i", "em", "span", "a href='x>y'", 'code title="1 > 0"'])
+            parts.append(f"<{tag}>{inline(depth - 1)}</{tag.split()[0]}>" if depth and rng.random() < 0.5 else word())
+        return rng.choice(["", " ", "\n  ", "<br>", "<!-- x -->"]).join(parts)
+
+    def block(depth):
+        tag = rng.choice(["p", "h2", "blockquote", "ul", "section", "table"])
+        inner = "".join(f"<li>{inline(2)}</li>" for _ in range(3)) if tag == "ul" else inline(3)
+        if tag == "table":
+            inner = f"<tr><td>{inline(1)}</td><td>{inline(1)}</td></tr>"
+        if tag == "section" and depth:
+            inner = "".join(block(depth - 1) for _ in range(3))
+        return f"<{tag} class='c{rng.randrange(9)}'>{inner}</{tag}>" + rng.choice(["", "\n", " "])
+
+    for _ in range(300):
+        body = "".join(block(2) for _ in range(rng.randrange(1, 8)))
+        page = f"<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><article>{body}</article><footer>f</footer></body></html>"
+        assert H.extract_text(page, {H.WORD: 50.0, H.LINK_WORD: 50.0}) == Blocks(page).text, page
+
+
+def test_references_end_at_tags():
+    assert H.extract_text("<p>a &<b>amp;</b> b &amp;<i>lt;</i> &lt</p>", {}) == "a &amp; b &lt; <"
+
+
+def test_several_articles():
+    two = "<article><p>aa bb cc</p></article>{}<article><p>dd ee</p></article>"
+    assert H.extract_text(two.format("<footer>x</footer>" * 5), {}) == "aa bb cc"
+    assert H.extract_text(two.format(""), {"/article": -0.1, "article": -0.1}) == "aa bb cc\ndd ee"
+
+
+LONG = [
+    "<a " * 100_000, "<!" * 100_000, "<a " * 100_000 + ">", "<div>" * 50_000 + "</span>" * 50_000, "<article>" * 50_000, "<svg>" * 30_000 + "</svg>",
+    "<svg><article>" * 30_000 + "</svg>" * 30_000, "<a x='" * 50_000, "<!--" * 50_000, "<script>" * 50_000, "<div class=ad>" * 30_000 + "</div>" * 30_000, "<p>&" * 50_000,
+]
+
+
+@pytest.mark.parametrize("case", range(len(LONG)))
+def test_hostile_pages_are_linear(case):
+    began = time.process_time()
+    H.extract_text("<p>some text</p>" + LONG[case], {})
+    H.count_kinds(LONG[case])
+    assert time.process_time() - began < 6
