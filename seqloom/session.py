@@ -52,6 +52,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(*used: DataFrame) -> None:
+    """Removes the files of frames that ``checkpointed`` gave, when nothing reads them any more."""
+    for df in used:
+        place = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if place.isDefined():
+            remove_shared(df.sparkSession, place.get())
+
+
 def input_bytes(df: DataFrame) -> int:
     """About how many bytes ``df`` reads: the sizes of its sources, or a full split per partition if that is less.
 
@@ -101,6 +109,6 @@ def write_shared(df: DataFrame) -> str:
 
 
 def remove_shared(spark: SparkSession, path: str) -> None:
-    """Removes a table that ``write_shared`` wrote."""
+    """Removes a table that ``write_shared`` wrote, or any folder that every executor can reach."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
