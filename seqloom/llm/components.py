@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import checkpointed
+from seqloom.session import checkpointed, forget
 
 MAX_ROUNDS = 60
 #: A node with more than this part of all edges is joined by broadcast; there are at most so many such nodes.
@@ -29,11 +29,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both, 2 * n).where("b > a")
         large = checkpointed(large.select(F.col("b").alias("a"), F.least("m", F.col("a")).alias("b")).distinct())
+        forget(pairs)
         small = _with_least(large, 2 * n)
         # Every neighbour is joined to the least one, and so is the node itself.
         joined = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = large.groupBy("a").agg(F.min("b").alias("b"))
         pairs = checkpointed(joined.union(own).distinct())
+        forget(large)
     raise RuntimeError("components did not settle")
 
 

@@ -3,24 +3,25 @@
 Documents are sets of 5-word shingles (64-bit hashes); two are linked if the Jaccard similarity of
 their sets is 0.8 or more.  Documents with equal sets are one node with a number of copies.
 
-1. MinHash signatures of 128 values; nodes that agree on all four values of one of 32 bands
-   are candidates (a pair at 0.8 is missed with probability 5e-8).
+1. MinHash signatures of 128 values; two nodes that agree on all four values of one of 32 bands
+   are a candidate pair (a pair at 0.8 is missed with probability 5e-8).
 2. Each node is joined to the smallest node of its buckets; the components of these edges gather
-   candidates without pairs.  All pairs of a component are compared, in pairs of blocks of
-   about ``BLOCK`` nodes, each its own task.  A component of more than ``GIANT`` nodes is compared
-   bucket by bucket instead (each pair in the first bucket it shares), so chains don't grow costs.
+   candidates without pairs.  A component is compared in pairs of blocks of about ``BLOCK`` nodes, each its own task:
+   blocks of the whole component, or of each of its buckets where these hold fewer pairs together
+   (chains).  Either way exactly the candidate pairs are judged, each once.
 3. A pair's MinHash values are compared 32 at a time; it is dropped as soon as the posterior
    probability of a similarity of 0.8, from a uniform prior, falls below ``TOLERANCE``.
 4. What is left is verified exactly on the sets.
 
 A pair of blocks gives one row per linked node: how many documents it links to and the smallest node it
-hangs together with there.  So no list of pairs is ever written, and nothing is capped.  The number of
-links inside a group of near copies can only be counted by comparing them: that is the one
-quadratic part, it is vectorised, and it spreads over tasks.
+hangs together with there.  So no list of pairs is ever written, and nothing is capped.  A node's text is fetched once, its
+set and signature are made once and sent to the tasks of its group, which are dealt round robin over the
+partitions.  The number of links inside a group of near copies can only be counted by comparing them: that is the one
+quadratic part, it is vectorised, and it spreads over tasks; a set travels to one task for every ``BLOCK`` nodes of its group.
 
 Defined cases: texts of under 5 words have one shingle, all their words; documents without words
 have no links and are classes of their own; so are rows with a null id (their class is null);
-rows that share an id share a class; other columns are ignored.
+rows that share an id are judged each by its own text; other columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.components import components
 from seqloom.llm.substring_dedup import by_group
 from seqloom.llm.words import BASES, Roller, WordHashes, mix, split_words
-from seqloom.session import checkpointed, ship
+from seqloom.session import checkpointed, forget, ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -44,8 +45,10 @@ BANDS, ROWS, STEP = 32, 4, 32
 VALUES = BANDS * ROWS
 TOLERANCE = 1e-9
 BLOCK = 256
-GIANT = 8192
 CHUNK = 1 << 16
+#: Rows of tasks that a partition takes, and the most partitions.
+PARTITION_ROWS = 8192
+MOST_PARTITIONS = 20_000
 
 _U = np.uint64
 _random = np.random.default_rng(20240229)
@@ -168,9 +171,7 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def comparer(similarity: float, shingle: int) -> type:
-    shingler = Shingler(shingle)
-
+def comparer(similarity: float) -> type:
     class Pair:
         """The one or two blocks of nodes of a group, compared when all have come."""
 
@@ -182,38 +183,25 @@ def comparer(similarity: float, shingle: int) -> type:
 
         def finish(self) -> Iterator[tuple[int, int, int]]:
             """``node, least, n_links``."""
-            rows = sorted(self.rows, key=lambda r: r[:2])
-            sets = [shingler.shingles(r[5]) for r in rows]
-            # Rows that share an id bring each other's texts: a node is its own set, once.
-            seen, own = set(), []
-            for i, key in enumerate(set_keys(sets)):
-                if key == rows[i][4] and (rows[i][1], key) not in seen:
-                    seen.add((rows[i][1], key))
-                    own.append(i)
-            rows, sets = [rows[i] for i in own], [sets[i] for i in own]
-            if not rows:
-                return
-            signature = signatures(sets)
+            # A node whose document is there more than once has come as often.
+            rows = sorted({r[:2]: r for r in self.rows}.values(), key=lambda r: r[:2])
+            self.rows = []
             blocks = np.array([r[0] for r in rows])
-            split = int(np.searchsorted(blocks, blocks[-1]))  # 0: one block
-            if split:
+            sets = [np.frombuffer(r[6], "<u8") for r in rows]
+            signature = np.frombuffer(b"".join(r[5] for r in rows), "<u4").reshape(-1, VALUES)
+            if rows[0][3]:
+                i, j = surviving_pairs(signature, signature, True)
+            else:
+                split = int(np.searchsorted(blocks, blocks[-1]))  # 0: the other block has no rows
                 i, j = surviving_pairs(signature[:split], signature[split:], False)
                 j = j + split
-            else:
-                i, j = surviving_pairs(signature, signature, True)
-            band = rows[0][3]
-            if band >= 0 and len(i):
-                equal = (signature[i] == signature[j]).reshape(-1, BANDS, ROWS).all(axis=2)
-                first = equal.any(axis=1) & (equal.argmax(axis=1) == band)
-                i, j = i[first], j[first]
-            node = np.array([r[1] for r in rows], np.int64)
-            copies = np.array([r[2] for r in rows], np.int64)
-            other = node[i] != node[j]
-            i, j = i[other], j[other]
+            i, j = candidates(signature, i, j, rows[0][4])
             linked = verified(i, j, sets, sets, similarity)
             i, j = i[linked], j[linked]
             if not len(i):
                 return
+            node = np.array([r[1] for r in rows], np.int64)
+            copies = np.array([r[2] for r in rows], np.int64)
             n = np.zeros(len(rows), np.int64)
             np.add.at(n, i, copies[j])
             np.add.at(n, j, copies[i])
@@ -226,13 +214,23 @@ def comparer(similarity: float, shingle: int) -> type:
     return Pair
 
 
+def candidates(signature: np.ndarray, i: np.ndarray, j: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that share a band; if ``band`` is one of them, those that share it first."""
+    stay = np.empty(len(i), bool)
+    for at in range(0, len(i), CHUNK):
+        s = slice(at, at + CHUNK)
+        equal = (signature[i[s]] == signature[j[s]]).reshape(-1, BANDS, ROWS).all(axis=2)
+        stay[s] = equal.any(axis=1) & ((band < 0) | (equal.argmax(axis=1) == band))
+    return i[stay], j[stay]
+
+
 def featured(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, key, bands`` of each document; null where there are no words."""
+    """``doc_id, hash, key, bands`` of each document; no key and bands where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
         for batch in batches:
-            texts, at = batch.column(1), 0
+            texts, at = batch.column(2), 0
             while at < len(batch):
                 sets, held, first = [], 0, at
                 while at < len(batch) and held < CHUNK:
@@ -242,89 +240,165 @@ def featured(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 full = [s for s in sets if len(s)]
                 hashes = iter(band_hashes(signatures(full)))
                 bands = [next(hashes) if len(s) else None for s in sets]
-                columns = [batch.column(0)[first:at], pa.array(set_keys(sets), pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.record_batch(columns, names=["doc_id", "key", "bands"])
+                columns = [batch.column(0)[first:at], batch.column(1)[first:at], pa.array(set_keys(sets), pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.record_batch(columns, names=["doc_id", "hash", "key", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, bands array<bigint>")
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    return hashed.mapInArrow(run, "doc_id long, hash long, key binary, bands array<bigint>")
 
 
-def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``task, block, node, copies, band, key`` rows: each member once per pair of blocks of its group."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = members.join(sizes, "group").select(
-        "group", "node", "copies", "band", "key", n.alias("n"), F.pmod(F.xxhash64("node"), n).cast("int").alias("block")
+def _tasks(members: DataFrame, parts: int) -> DataFrame:
+    """``node, doc, copies, key`` of ``members``, and for each pair of blocks of its group with the node a task.
+
+    ``members`` also has ``group, band, size``, the group's number of nodes.  The tasks of a group go to neighbouring partitions.
+    """
+    n = F.ceil(F.col("size") / BLOCK).cast("long")
+    placed = members.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    number = F.shiftright(high * (high + 1), 1) + low
+    task = F.struct(
+        F.concat_ws(" ", "group", "band", low, high).alias("task"),
+        F.pmod(F.pmod(F.xxhash64("group", "band"), F.lit(parts)) + number, F.lit(parts)).cast("int").alias("part"),
+        F.col("block").cast("int").alias("block"),
+        (low == high).alias("same"),
+        F.col("band").cast("int").alias("band"),
     )
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    task = F.concat_ws(" ", "group", "band", F.least("block", "other"), F.greatest("block", "other"))
-    return spread.select(task.alias("task"), "block", "node", "copies", "band", "key")
+    return spread.select("node", "doc", "copies", "key", task.alias("t"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies`` of each document.
+def sparse(pairs: Column, size: Column) -> Column:
+    """Whether a component's buckets hold fewer pairs together than the component."""
+    return pairs < size * size
 
-    ``class_id`` is the smallest id that a document hangs together with by links; ``n_links``
-    counts the other documents that it is linked to, copies included.
-    """
-    ship(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    features = checkpointed(featured(docs, shingle))
-    known = features.where("doc_id IS NOT NULL AND key IS NOT NULL")
-    nodes = checkpointed(
-        known.groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    )
-    in_bands = nodes.select("node", "copies", "key", F.posexplode("bands").alias("band", "bucket"))
+
+def _compared(docs: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``node, least, n``: per pair of blocks and linked node, what it hangs together with and how many documents it links to."""
+    spark = docs.sparkSession
+    in_bands = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     # Aggregates are kept before they are joined, so that a hot bucket or group can be split by the join.
     shared = in_bands.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size"))
     shared = checkpointed(shared.where("size > 1"))
     stars = in_bands.join(shared, "bucket").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    found = components(stars)
-    found = checkpointed(found.union(found.select("root", "root").distinct()).toDF("node", "root"))
-    sizes = checkpointed(found.groupBy("root").agg(F.count("*").alias("size")))
-    members = nodes.select("node", "copies", "key").join(found, "node")
-    small = sizes.where(F.col("size") <= GIANT).withColumnRenamed("root", "group")
-    tasks = _in_blocks(members.withColumn("band", F.lit(-1)).withColumnRenamed("root", "group"), small)
-    giant = sizes.where(F.col("size") > GIANT)
-    if not giant.isEmpty():
-        inside = members.join(giant, "root").select("node")
-        buckets = shared.select(F.col("bucket").alias("group"), "size")
-        in_giant = in_bands.join(inside.distinct(), "node").withColumnRenamed("bucket", "group")
-        tasks = tasks.union(_in_blocks(in_giant.select("group", "node", "copies", "band", "key"), buckets).select(tasks.columns))
-    texts = docs.withColumnRenamed("doc_id", "node")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = tasks.join(texts, "node").select("task", "block", "node", "copies", "band", "key", "text")
-    dealt = dealt.repartition(parts, "task").sortWithinPartitions("task")
+    joined = components(stars)
+    found = checkpointed(joined.union(joined.select("root", "root").distinct()).toDF("node", "root"))
+    in_buckets = shared.join(found, F.col("least") == F.col("node")).groupBy("root").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    sizes = found.groupBy("root").agg(F.count("*").alias("size")).join(in_buckets, "root")
+    sizes = checkpointed(sizes.withColumn("sparse", sparse(F.col("pairs"), F.col("size"))))
+    sent = F.col("size") * F.ceil(F.col("size") / BLOCK)
+    total = sizes.agg(F.max("sparse").alias("sparse"), F.sum(sent).alias("rows")).first()
+    least_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = min(max(least_parts, (total["rows"] or 0) // PARTITION_ROWS), max(least_parts, MOST_PARTITIONS))
+
+    members = nodes.select("node", "doc", "copies", "key").join(found, "node")
+    whole = members.join(sizes.where("NOT sparse"), "root").withColumn("band", F.lit(-1)).withColumnRenamed("root", "group")
+    tasks = _tasks(whole, parts)
+    if total["sparse"]:
+        inside = members.join(sizes.where("sparse").select("root"), "root").drop("root")
+        of_buckets = in_bands.join(inside, "node").join(shared.select("bucket", "size"), "bucket").withColumnRenamed("bucket", "group")
+        tasks = tasks.union(_tasks(of_buckets, parts))
+    dealt = tasks.groupBy("node", "doc", "copies", "key").agg(F.collect_list("t").alias("tasks"))
+    names = ["node", "copies", "signature", "set", "tasks"]
+    with_text = dealt.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").select("node", "copies", "key", "tasks", "text")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(shingle)
+        for batch in batches:
+            sets = [shingler.shingles(t.as_py()) for t in batch.column(4)]
+            # Documents that share an id bring each other's texts.
+            own = [i for i, (k, key) in enumerate(zip(set_keys(sets), batch.column(2), strict=True)) if k is not None and k == key.as_py()]
+            if not own:
+                continue
+            sets = [sets[i] for i in own]
+            some = batch.take(pa.array(own))
+            columns = [
+                some.column(0),
+                some.column(1),
+                pa.array([x.astype("<u4").tobytes() for x in signatures(sets)], pa.binary()),
+                pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary()),
+                some.column(3),
+            ]
+            yield pa.record_batch(columns, names=names)
+
+    task_type = "struct<task: string, part: int, block: int, same: boolean, band: int>"
+    made = with_text.mapInArrow(make, f"node long, copies long, signature binary, set binary, tasks array<{task_type}>")
+    each = made.select(F.explode("tasks").alias("t"), "node", "copies", "signature", "set")
+    each = each.select("t.task", "t.block", "node", "copies", "t.same", "t.band", "signature", "set", "t.part")
+    each = each.repartitionById(parts, F.col("part")).drop("part").sortWithinPartitions("task")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int64()), ("least", pa.int64()), ("n", pa.int64())])
         rows = []
-        for row in by_group(batches, comparer(similarity, shingle)):
+
+        def out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["node", "least", "n"])
+
+        for row in by_group(batches, comparer(similarity)):
             rows.append(row)
             if len(rows) >= 10_000:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+                yield out()
                 rows = []
         if rows:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
+            yield out()
 
-    linked = checkpointed(dealt.mapInArrow(compare, "node long, least long, n long"))
-    classes = components(linked.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    linked = checkpointed(each.mapInArrow(compare, "node long, least long, n long"))
+    forget(shared, found, sizes)
+    return linked
+
+
+def _classified(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``doc_id, hash, root, class_id, n_links, n_copies`` of each document; no root where there are no words or no id."""
+    ship(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    features = checkpointed(featured(docs, shingle))
+    known = features.where("doc_id IS NOT NULL AND key IS NOT NULL")
+    nodes = known.groupBy("key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    # A number of its own for each set, fixed by the checkpoint: documents that share an id may have several.
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+    linked = _compared(docs, nodes, similarity, shingle)
     counts = linked.groupBy("node").agg(F.sum("n").alias("n"))
-    judged = (
-        nodes.select("key", "node", "copies")
-        .join(classes, "node", "left")
-        .join(counts, "node", "left")
-        .select(
-            "key",
-            F.coalesce("root", "node").alias("class_id"),
-            (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.col("copies").alias("n_copies"),
-        )
+    classes = components(linked.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    judged = nodes.select("key", "node", "doc", "copies").join(classes, "node", "left").join(counts, "node", "left")
+    judged = checkpointed(judged.select("key", F.coalesce("root", "node").alias("root"), "doc", "copies", F.coalesce("n", F.lit(0)).alias("n")))
+    least = judged.where("n > 0").groupBy("root").agg(F.min("doc").alias("class_id"))
+    judged = judged.join(least, "root", "left").select(
+        "key",
+        "root",
+        F.coalesce("class_id", "doc").alias("class_id"),
+        (F.col("n") + F.col("copies") - 1).alias("n_links"),
+        F.col("copies").alias("n_copies"),
     )
     alone = {"class_id": F.coalesce("class_id", "doc_id"), "n_links": F.coalesce("n_links", F.lit(0)), "n_copies": F.coalesce("n_copies", F.lit(1))}
-    joined = features.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(judged, "key", "left")
-    return joined.select("doc_id", *[c.cast("long").alias(n) for n, c in alone.items()])
+    keyed = features.select("doc_id", "hash", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+    found = keyed.join(judged, "key", "left").select("doc_id", "hash", "root", *[c.cast("long").alias(n) for n, c in alone.items()])
+    forget(linked, nodes)
+    return found
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, class_id, n_links, n_copies`` of each document.
+
+    ``class_id`` is the smallest id that a document hangs together with by links; ``n_links``
+    counts the other documents that it is linked to, copies included.
+    """
+    return _classified(docs, similarity, shingle).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose class has a smaller id; rows with a null id stay."""
-    classes = near_duplicates(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(docs.columns)
+    """Of each class the row with the smallest id (and then text hash), once if it is repeated.
+
+    Rows with a null id or without words stay.
+    """
+    hashed = "hash"
+    while hashed.lower() in {c.lower() for c in docs.columns}:
+        hashed = "_" + hashed
+    groups = checkpointed(_classified(docs, SIMILARITY, SHINGLE).where("n_links > 0").select("doc_id", F.col("hash").alias(hashed), "root"))
+    row = F.struct("doc_id", hashed)
+    first = groups.groupBy("root").agg(F.min(row).alias("first"))
+    judged = groups.join(first, "root")
+    others = judged.where(row != F.col("first")).select("doc_id", hashed).distinct()
+    repeated = checkpointed(groups.groupBy("doc_id", hashed).count().where("count > 1").select("doc_id", hashed))
+    kept = docs.withColumn(hashed, F.xxhash64("text")).join(others, ["doc_id", hashed], "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, ["doc_id", hashed], "left_semi").dropDuplicates(["doc_id", hashed])
+        kept = kept.join(repeated, ["doc_id", hashed], "left_anti").union(once)
+    return kept.select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.llm import components as K
 from seqloom.llm import jaccard_join as J
@@ -60,14 +61,39 @@ def result(spark, rows, **options):
     return sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in J.near_duplicates(df, **options).collect()), key=str)
 
 
-@pytest.mark.parametrize("block,giant", [(256, 8192), (5, 8192), (5, 3)])
-def test_against_brute_force(spark, monkeypatch, block, giant):
+@pytest.mark.parametrize("block,plan", [(256, "cost"), (5, "cost"), (5, "buckets"), (5, "components")])
+def test_against_brute_force(spark, monkeypatch, block, plan):
     monkeypatch.setattr(J, "BLOCK", block)
-    monkeypatch.setattr(J, "GIANT", giant)
-    rows = corpus(random.Random(block + giant), 150)
+    rows = corpus(random.Random(block + 1), 150)
+    if plan != "cost":
+        monkeypatch.setattr(J, "sparse", lambda pairs, size: F.lit(plan == "buckets"))
     assert result(spark, rows) == sorted(brute(rows), key=str)
 
 
+def test_chains(spark, monkeypatch):
+    """Long components of few candidate pairs go by their buckets, and lose nothing."""
+    monkeypatch.setattr(J, "BLOCK", 16)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(2_000)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 120]), 0, "") for i in range(400)]
+    rng.shuffle(rows)
+    assert result(spark, rows) == sorted(brute(rows), key=str)
+
+
+def test_candidates_share_a_band():
+    rng = np.random.default_rng(2)
+    s = rng.integers(0, 3, (40, J.VALUES), np.uint32)
+    s[1::2, 8:12] = s[::2, 8:12]
+    s[1::4, 40:44] = s[::4, 40:44]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    i, j = i[i < j], j[i < j]
+    first = [next((b for b in range(J.BANDS) if (s[a, 4 * b : 4 * b + 4] == s[c, 4 * b : 4 * b + 4]).all()), None) for a, c in zip(i, j, strict=True)]
+    got = set(zip(*J.candidates(s, i, j, -1), strict=True))
+    assert got == {(a, c) for a, c, f in zip(i, j, first, strict=True) if f is not None} != set()
+    for band in range(J.BANDS):
+        assert set(zip(*J.candidates(s, i, j, band), strict=True)) == {(a, c) for a, c, f in zip(i, j, first, strict=True) if f == band}
+
+
 def test_defined_cases(spark):
     text = " ".join(f"w{i}" for i in range(60))
     long = " ".join(f"x{i % 9000}" for i in range(20_000))
@@ -90,6 +116,18 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({c for _, c, _ in brute(rows)}, key=str)
 
 
+def test_keep_one_of_repeated_rows_and_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b), (5, b + " end"), (5, c), (7, c), (None, a), (None, a), (8, None), (8, None), (9, ""), (9, "")]
+    df = spark.createDataFrame([(*r, "h", "r", 1) for r in rows], "doc_id long, text string, hash string, root string, _hash int")
+    kept = J.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (3, b), (5, c), (None, a), (None, a), (8, None), (8, None), (9, ""), (9, "")], key=str)
+    classes = sorted({(r["doc_id"], r["class_id"], r["n_copies"]) for r in J.near_duplicates(df).collect()}, key=str)
+    assert classes == sorted({(1, 1, 4), (2, 1, 4), (3, 3, 1), (5, 3, 1), (5, 5, 2), (7, 5, 2), (None, None, 1), (8, 8, 1), (9, 9, 1)}, key=str)
+
+
 def test_pruning_loses_nothing_at_the_threshold():
     rng = random.Random(3)
     least = J.least_agreement()
