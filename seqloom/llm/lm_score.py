@@ -2,9 +2,10 @@
 
 The target model is counted on documents labelled good, the background model on all documents;
 both are interpolated bigram models of one order, one smoothing and one vocabulary, the words of
-the corpus.  With counts ``c`` and totals ``N`` of a model::
+the corpus.  A document is scored by what the others teach: its own counts are taken out of the models' (the target's if
+it is labelled good).  With counts ``c`` and totals ``N`` of a model without them::
 
-    background  p(v) = c(v) / N                      p(v|u) = (c(uv) + MU p(v)) / (c(u) + MU)
+    background  p(v) = c(v) / N, with its own counts      p(v|u) = (c(uv) + MU p(v)) / (c(u) + MU)
     target      p(v) = (c(v) + KAPPA pb(v)) / (N + KAPPA), and p(v|u) as above
 
 A word without one before it has ``p(v)``.  The score of a document is the mean over its words of
@@ -14,8 +15,11 @@ Scale.  Models are as large as the corpus, so nobody holds one.  Documents are d
 a hash of their id.  A block asks for the counts of its distinct words and bigrams (sorted 64-bit
 hashes, delta-coded, one binary per bucket) and sends along how often it has them itself; a bucket
 adds up all blocks' counts and answers each block in the order it asked; the block then scores
-its documents.  A hot word is one entry per block.  Blocks and buckets follow the input size, and
-labels meet documents in the same exchange.
+its documents, a part at a time.  A hot word is one entry per block.  Labels meet documents in the same exchange.
+
+Blocks and buckets grow with the root of the input (``block_bytes``), so that there are in proportion to the input as many
+messages from a block to a bucket.  From ``MOST_BLOCK_BYTES`` on, at about 200 GB, blocks stay as large, which
+bounds memory, and messages get smaller as there are more of them; ``MOST_BLOCK_BYTES`` is to follow the memory of large clusters.
 
 Defined cases: a null text or one without words has 0 words and null losses; null labels and ids
 in ``labels`` are ignored; rows with a null id are never labelled; documents that share an id share its
@@ -25,6 +29,7 @@ tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +43,20 @@ from seqloom.llm.words import BASES, WordHashes, mix, split_words
 from seqloom.session import input_bytes, ship
 
 KAPPA, MU = 1000.0, 5.0
-BLOCK_BYTES = 2 << 20
+#: Block sizes: the least, the most, and the bytes whose product with the input is the square of the size.
+LEAST_BLOCK_BYTES, MOST_BLOCK_BYTES, ROOT_BYTES = 2 << 20, 64 << 20, 20_000
 LEAST_BLOCKS, LEAST_BUCKETS = 12, 48
+#: Words of a block that are scored at once.
+PART_WORDS = 1 << 20
 
 _U = np.uint64
 
 
+def block_bytes(size: int) -> int:
+    """Bytes of input per block, and per bucket."""
+    return min(max(math.isqrt(size * ROOT_BYTES), LEAST_BLOCK_BYTES), MOST_BLOCK_BYTES)
+
+
 def _pack(arrays: list[np.ndarray]) -> bytes:
     """Arrays as one binary.  Bytes of one rank lie together, so that the zeros of small numbers compress away."""
     raw = np.array([len(a) for a in arrays], "<u4").tobytes()
@@ -90,7 +103,7 @@ class Texts:
 
 def _splits(values: np.ndarray, buckets: int) -> np.ndarray:
     """Sorted hashes fall into buckets by their high bits; edges of the buckets."""
-    width = (1 << 64) // buckets
+    width = ((1 << 64) - 1) // buckets
     return np.searchsorted(values, np.arange(1, buckets, dtype=_U) * _U(width))
 
 
@@ -142,6 +155,12 @@ class Answering:
             yield row[1], row[0], _pack(answer)
 
 
+def _own(doc: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """For each occurrence of ``at`` in a document, how often the document has it."""
+    _, which, n = np.unique(doc * size + at, return_inverse=True, return_counts=True)
+    return n[which]
+
+
 def score_block(rows: list[tuple], answers: list[tuple], target_words: int, all_words: int, words: WordHashes) -> list[tuple]:
     """``doc_id, n_words, target_loss, background_loss, score`` of the documents of a block."""
     texts = Texts(rows, words)
@@ -150,24 +169,41 @@ def score_block(rows: list[tuple], answers: list[tuple], target_words: int, all_
     def counts(column: int) -> np.ndarray:
         return np.concatenate([np.empty(0, "<i8"), *(p[column] for p in parts)])
 
-    (_, word_at, _, _), (_, pair_at, _, _) = texts.distinct()
-    follows = np.flatnonzero(~texts.first)
-    base = counts(1)[word_at] / max(all_words, 1)
-    losses = []
-    for word, pair, total, kappa in ((counts(0), counts(2), target_words, KAPPA), (counts(1), counts(3), all_words, 0.0)):
-        c = word[word_at]
-        p = (c + kappa * base) / max(total + kappa, 1)
-        given = p.copy()
-        given[follows] = (pair[pair_at] + MU * p[follows]) / (c[follows - 1] + MU)
-        losses.append(-np.log(given))
-    found, end = [], 0
-    for doc, n in zip(texts.ids, texts.lengths.tolist(), strict=True):
-        end += n
-        if n:
-            t, b = (float(x[end - n : end].mean()) for x in losses)
-            found.append((doc, n, t, b, t - b))
-        else:
-            found.append((doc, 0, None, None, None))
+    (_, every_word, _, _), (_, every_pair, _, _) = texts.distinct()
+    word_target, word_all, pair_target, pair_all = map(counts, range(4))
+    ends = np.cumsum(texts.lengths)
+    pair_before = np.cumsum(~texts.first) - ~texts.first
+    found: list[tuple] = []
+    part = (ends - texts.lengths) // PART_WORDS
+    for docs in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(part)) + 1) if len(ends) else []:
+        lengths = texts.lengths[docs]
+        n = int(lengths.sum())
+        if not n:
+            found += [(texts.ids[d], 0, None, None, None) for d in docs]
+            continue
+        at = int(ends[docs[0]] - lengths[0])
+        here = slice(at, at + n)
+        word_at, first, good = every_word[here], texts.first[here], texts.target[here]
+        follows = np.flatnonzero(~first)
+        pair_at = every_pair[pair_before[at] : pair_before[at] + len(follows)]
+        doc = np.repeat(np.arange(len(docs)), lengths)
+        own_word, own_pair = _own(doc, word_at, len(word_all)), _own(doc[follows], pair_at, len(pair_all))
+        base = word_all[word_at] / max(all_words, 1)
+        c = word_target[word_at] - own_word * good
+        p = (c + KAPPA * base) / (target_words - lengths[doc] * good + KAPPA)
+        target = p.copy()
+        target[follows] = (pair_target[pair_at] - own_pair * good[follows] + MU * p[follows]) / (c[follows - 1] + MU)
+        c = word_all[word_at] - own_word
+        background = base.copy()
+        background[follows] = (pair_all[pair_at] - own_pair + MU * base[follows]) / (c[follows - 1] + MU)
+        losses, end = (-np.log(target), -np.log(background)), 0
+        for d, size in zip(docs.tolist(), lengths.tolist(), strict=True):
+            end += size
+            if size:
+                t, b = (float(x[end - size : end].mean()) for x in losses)
+                found.append((texts.ids[d], size, t, b, t - b))
+            else:
+                found.append((texts.ids[d], 0, None, None, None))
     return found
 
 
@@ -197,7 +233,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     size = input_bytes(docs)
-    blocks, buckets = max(LEAST_BLOCKS, size // BLOCK_BYTES), max(LEAST_BUCKETS, size // BLOCK_BYTES)
+    blocks, buckets = max(LEAST_BLOCKS, size // block_bytes(size)), max(LEAST_BUCKETS, size // block_bytes(size))
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
     counted = docs.select("doc_id", n_words.cast("long").alias("n"))
@@ -208,12 +244,14 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     block = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)).cast("int")
     both = docs.withColumn("good", F.lit(False)).union(good.select("doc_id", F.lit(None).cast("string"), F.lit(True)))
-    dealt = both.select(block.alias("block"), "doc_id", "text", "good").repartition(min(blocks, MOST_PARTITIONS), "block")
+    parts = min(blocks, MOST_PARTITIONS)
+    dealt = both.select(block.alias("block"), "doc_id", "text", "good").repartitionById(parts, F.pmod("block", F.lit(parts)))
 
     asking = dealt.sortWithinPartitions("block").select("block", F.col("block").alias("own"), "doc_id", "text", "good")
     types = [pa.int32(), pa.int32(), pa.binary()]
     asked = asking.mapInArrow(_through(asker(buckets), ["bucket", "block", "blob"], types), "bucket int, block int, blob binary")
-    queued = asked.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").select("bucket", F.col("bucket").alias("own"), "block", "blob")
+    parts = min(buckets, MOST_PARTITIONS)
+    queued = asked.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket").select("bucket", F.col("bucket").alias("own"), "block", "blob")
     answered = queued.mapInArrow(_through(Answering, ["block", "bucket", "blob"], types), "block int, bucket int, blob binary")
 
     words = WordHashes()

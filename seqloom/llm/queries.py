@@ -48,15 +48,19 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = rf"""
 WITH d AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
 t AS (SELECT doc_id, unnest(range(len(words))) AS i, unnest(words) AS v FROM d WHERE len(words) > 0),
-k AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY i) AS u, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good FROM t),
+c AS (
+  SELECT *, lag(v) OVER w AS u, count(*) OVER (PARTITION BY doc_id) AS nd, count(*) OVER (PARTITION BY doc_id, v) AS own,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT *, CAST(good AS INT) AS g, lag(own) OVER (PARTITION BY doc_id ORDER BY i) AS own_u, count(*) OVER (PARTITION BY doc_id, u, v) AS own_uv FROM c),
 uni AS (SELECT v, count(*) AS b, count(*) FILTER (good) AS t FROM k GROUP BY v),
 bi AS (SELECT u, v, count(*) AS b, count(*) FILTER (good) AS t FROM k WHERE u IS NOT NULL GROUP BY u, v),
 n AS (SELECT count(*) AS b, count(*) FILTER (good) AS t FROM k),
 p AS (
-  SELECT k.doc_id, k.i, k.u, x.b / n.b AS pb, (x.t + 1000 * (x.b / n.b)) / (n.t + 1000) AS pt, y.b AS yb, y.t AS yt, bi.b AS bb, bi.t AS bt
+  SELECT k.*, x.b / n.b AS pb, (x.t - g * own + 1000 * (x.b / n.b)) / (n.t - g * nd + 1000) AS pt, y.b AS yb, y.t AS yt, bi.b AS bb, bi.t AS bt
   FROM k CROSS JOIN n JOIN uni x ON x.v = k.v LEFT JOIN uni y ON y.v = k.u LEFT JOIN bi ON bi.u = k.u AND bi.v = k.v),
 g AS (
-  SELECT doc_id, CASE WHEN u IS NULL THEN pt ELSE (bt + 5 * pt) / (yt + 5) END AS gt, CASE WHEN u IS NULL THEN pb ELSE (bb + 5 * pb) / (yb + 5) END AS gb
+  SELECT doc_id, CASE WHEN u IS NULL THEN pt ELSE (bt - g * own_uv + 5 * pt) / (yt - g * own_u + 5) END AS gt,
+    CASE WHEN u IS NULL THEN pb ELSE (bb - own_uv + 5 * pb) / (yb - own_u + 5) END AS gb
   FROM p),
 s AS (SELECT doc_id, avg(-ln(gt)) AS t, avg(-ln(gb)) AS b FROM g GROUP BY doc_id)
 SELECT d.doc_id, len(words) AS n_words, round(t, 6) AS target_loss, round(b, 6) AS background_loss, round(t - b, 6) AS score
