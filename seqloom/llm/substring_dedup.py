@@ -9,8 +9,10 @@ run's header, in binary blocks, not as a row.  The bucket follows the smallest 8
 window, so that neighbouring windows stay together and come back as one run.  A block of
 documents is reduced before it is sent: a window that a smaller id of the same block already
 has is settled there, so a hot passage costs one window per block, not one per copy.  The number of
-buckets follows the input size and holds a bucket near ``BUCKET_BYTES`` of input.  Texts
-are shuffled once, when intervals meet their documents; sorts spill.
+buckets follows the input size and holds a bucket near ``BUCKET_BYTES`` of input.  A phrase that many texts share
+can draw all windows around it to its hash; where a sample of the documents shows that one anchor has more than
+``HOT_WINDOWS`` windows, its windows are dealt into several buckets by their own hash.  The sample decides where windows
+meet, never which.  Texts are shuffled once, when intervals meet their documents; sorts spill.
 
 A pair of different windows has the same 72 bits with probability 2**-72.
 
@@ -36,6 +38,9 @@ ANCHOR = 8
 BLOCK_WINDOWS = 1 << 20
 BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 24
+#: Windows that one anchor may have in a bucket, and the share of documents that is looked at for anchors with more.
+HOT_WINDOWS = 1 << 20
+SAMPLE = 1 / 256
 #: More buckets than this share partitions; a partition takes its buckets one after another.
 MOST_PARTITIONS = 20_000
 
@@ -52,12 +57,28 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """Windows of some documents, gathered until they are sent."""
 
-    def __init__(self, width: int, buckets: int):
+    def __init__(self, width: int, buckets: int, hot: tuple[np.ndarray, np.ndarray] = (np.empty(0, _U), np.empty(0, _U))):
         self.width, self.buckets = width, buckets
+        self.hot, self.slices = hot
         self.words, self.rollers = WordHashes(), [Roller(b) for b in BASES]
         self.anchors = Roller(BASES[0])
         self.clear()
 
+    def anchors_of(self, h: np.ndarray) -> np.ndarray:
+        """The smallest hash of 8 words in every window."""
+        width = min(ANCHOR, self.width)
+        return sliding_min(self.anchors.windows(h, width), self.width - width + 1)
+
+    def buckets_of(self, anchor: np.ndarray, window: np.ndarray) -> np.ndarray:
+        key = anchor
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, anchor), len(self.hot) - 1)
+            some = np.flatnonzero(self.hot[at] == anchor)
+            if len(some):
+                key = anchor.copy()
+                key[some] ^= mix(window[some] % self.slices[at[some]])
+        return (mix(key) % _U(self.buckets)).astype(np.int32)
+
     def clear(self) -> None:
         self.docs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
@@ -68,11 +89,9 @@ class Block:
         if n <= 0:
             return
         h = self.words.of(words)
-        width = min(ANCHOR, self.width)
-        anchor = sliding_min(self.anchors.windows(h, width), self.width - width + 1)
-        bucket = (mix(anchor) % _U(self.buckets)).astype(np.int32)
+        windows = self.rollers[0].windows(h, self.width)
         check = (self.rollers[1].windows(h, self.width) >> _U(56)).astype(np.uint8)
-        self.docs.append((doc, key, self.rollers[0].windows(h, self.width), check, bucket))
+        self.docs.append((doc, key, windows, check, self.buckets_of(self.anchors_of(h), windows)))
         self.held += n
 
     def take(self) -> pa.RecordBatch:
@@ -180,14 +199,38 @@ def by_group(batches: Iterator[pa.RecordBatch], group: type) -> Iterator[tuple]:
         yield from current.finish()
 
 
+def hot_anchors(docs: DataFrame, width: int, limit: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors with more than about ``limit`` windows, sorted, and into how many slices to deal them.
+
+    There are fewer of them than windows over ``limit``.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Block(width, 1)
+        for batch in batches:
+            hashes = [block.words.of(w) for w in (split_words(t.as_py()) for t in batch.column(0)) if len(w) >= width]
+            if hashes:
+                anchors, n = np.unique(np.concatenate([block.anchors_of(h) for h in hashes]), return_counts=True)
+                yield pa.record_batch([pa.array(anchors.view(np.int64)), pa.array(n, pa.int64())], names=["anchor", "n"])
+
+    sampled = docs.where("doc_id IS NOT NULL").select("text").sample(share, seed=1)
+    counted = sampled.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") > limit * share).collect()
+    anchors = np.array([r["anchor"] for r in rows], np.int64).view(_U)
+    slices = np.array([r["n"] / share // limit + 1 for r in rows], _U)
+    order = np.argsort(anchors)
+    return anchors[order], slices[order]
+
+
 def repeated_runs(docs: DataFrame, width: int = WIDTH, buckets: int | None = None) -> DataFrame:
     """``doc_id, key, runs`` of windows that also start in a smaller document."""
     ship(docs.sparkSession)
     if buckets is None:
         buckets = max(LEAST_BUCKETS, input_bytes(docs) // BUCKET_BYTES)
+    hot = hot_anchors(docs, width, HOT_WINDOWS, SAMPLE)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(width, buckets)
+        block = Block(width, buckets, hot)
         for batch in batches:
             for doc, key, text in zip(*batch.columns, strict=True):
                 block.add(doc.as_py(), key.as_py(), text.as_py())
@@ -217,7 +260,8 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH, buckets: int | None = Non
         .select("doc_id", F.xxhash64("text").alias("key"), "text")
         .mapInArrow(send, "bucket int, heads binary, h binary, c binary, settled binary")
     )
-    dealt = sent.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    parts = min(buckets, MOST_PARTITIONS)
+    dealt = sent.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket")
     return dealt.mapInArrow(compare, "doc_id long, key long, runs binary")
 
 

@@ -88,3 +88,37 @@ def test_sliding_min():
     for w in (1, 2, 7, 43, 200):
         assert sliding_min(v, w).tolist() == [v[i : i + w].min() for i in range(len(v) - w + 1)]
     assert len(sliding_min(v[:3], 5)) == 0
+
+
+def phrase_texts(rng, n):
+    """Texts of their own words around one phrase of 8 words whose hash is low."""
+    roller, words = Roller(BASES[0]), WordHashes()
+    phrases = [[f"p{k}x{i}".encode() for i in range(8)] for k in range(3_000)]
+    phrase = b" ".join(min(phrases, key=lambda p: int(roller.windows(words.of(p), 8)[0]))).decode()
+    own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    return [f"{own()} {phrase} {own()}" for _ in range(n)]
+
+
+def test_a_common_phrase_fills_no_bucket(spark):
+    texts = phrase_texts(random.Random(3), 400)
+    df = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts)], SCHEMA).repartition(4)
+
+    def largest(hot):
+        block = D.Block(50, 1_000, hot)
+        for i, t in enumerate(texts):
+            block.add(i, i, t)
+        return max(np.bincount(np.concatenate([d[4] for d in block.docs])))
+
+    hot = D.hot_anchors(df, 50, 200, 1.0)
+    assert len(hot[0]) == 1 and largest((np.empty(0, np.uint64),) * 2) > 10_000 > 20 * largest(hot)
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = phrase_texts(rng, 60)
+    texts += [" ".join(t.split()[rng.randrange(20) :]) for t in texts[:20]]
+    rows = [(i, t, 0, "") for i, t in enumerate(texts)] + corpus(rng, 40)
+    monkeypatch.setattr(D, "HOT_WINDOWS", 20)
+    monkeypatch.setattr(D, "SAMPLE", 1.0)
+    out = D.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), buckets=11).collect()
+    assert sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["removed"]), r["kept_text"]) for r in out) == sorted(brute(rows, 50))
