@@ -15,8 +15,8 @@ from seqloom import oracle
 from seqloom.functions import encode, hashers
 from seqloom.operators import sketch as S
 from seqloom.operators import sliding, stats, streams
-from seqloom.sources import generate
-from seqloom.session import parallel, read_table
+from seqloom.session import parallel, read_table, shared_path
+from seqloom.sources import fasta, generate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,12 +210,6 @@ def base_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.bases(sequences(spark, sf_dir)).select("seq_id", "pos", F.col("letter").alias("code"))
 
 
-@query("ambiguous_kmers", f"WITH {oracle.dna(keep_n=True)} SELECT seq_id, regexp_matches(substr(seq, 1, 21), '[^ACGTacgt]') AS ambiguous FROM seqs")
-def ambiguous_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = encode.slice_bases(F.col("seq"), 0, 21)
-    return sequences(spark, sf_dir, keep_n=True).select("seq_id", encode.is_ambiguous(cut).alias("ambiguous"))
-
-
 EVENTS_SQL = """
 WITH e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS row,
   count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -255,27 +249,18 @@ def column_hash_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIGITS = "translate(reverse({s}), 'ACTG', '0123')"
 
 
-@query("value_digits", f"""WITH {oracle.dna()},
-p AS (SELECT seq_id, substr(seq, 1, 64) AS k FROM seqs WHERE length(seq) >= 64)
-SELECT seq_id, {DIGITS.format(s='k')} AS digits, least({DIGITS.format(s='k')}, {DIGITS.format(s="translate(reverse(k), 'ACGT', 'TGCA')")}) AS canonical FROM p""")
-def value_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kmers = sequences(spark, sf_dir).where(F.length("seq") >= 64).select("seq_id", encode.slice_bases(F.col("seq"), 0, 64).alias("k"))
-    return kmers.select("seq_id", encode.value_digits(F.col("k")).alias("digits"), encode.value_digits(F.col("k"), True).alias("canonical"))
-
-
 def _at_every_position(k: int) -> str:
     return f"p AS (SELECT seq_id, pos, substr(seq, CAST(pos + 1 AS INTEGER), {k}) AS k FROM (SELECT seq_id, seq, unnest(range(length(seq) - {k - 1})) AS pos FROM seqs WHERE length(seq) >= {k}))"
 
 
-# ambiguous_kmers and value_digits look at the first k-mer of a sequence, these at every one.
-@query("ambiguous_kmers_everywhere", f"WITH {oracle.dna(keep_n=True)}, {_at_every_position(21)} SELECT seq_id, pos, regexp_matches(k, '[^ACGTacgt]') AS ambiguous FROM p")
-def ambiguous_kmers_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("ambiguous_kmers", f"WITH {oracle.dna(keep_n=True)}, {_at_every_position(21)} SELECT seq_id, pos, regexp_matches(k, '[^ACGTacgt]') AS ambiguous FROM p")
+def ambiguous_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.kmer_flags_and_digits(sequences(spark, sf_dir, keep_n=True), 21, False)
 
 
-@query("value_digits_everywhere", f"""WITH {oracle.dna()}, {_at_every_position(64)}
+@query("value_digits", f"""WITH {oracle.dna()}, {_at_every_position(64)}
 SELECT seq_id, pos, {DIGITS.format(s='k')} AS digits, least({DIGITS.format(s='k')}, {DIGITS.format(s="translate(reverse(k), 'ACGT', 'TGCA')")}) AS canonical FROM p""")
-def value_digits_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+def value_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.kmer_flags_and_digits(sequences(spark, sf_dir), 64, True)
 
 
@@ -297,10 +282,80 @@ SELECT user_id, event_type, index, coalesce(lead(index) OVER (PARTITION BY user_
 """
 
 
-@query("event_runs", RUNS_SQL)
-def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read_table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
-    return streams.islands(events, ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_type", "index", "n")
+for _name, _spread in (("event_runs", None), ("event_runs_spread", 16)):
+
+    @query(_name, RUNS_SQL)
+    def event_runs(spark: SparkSession, sf_dir: str, spread: int | None = _spread) -> DataFrame:
+        events = read_table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+        return streams.islands(events, ["user_id"], ["ts", "event_id"], "event_type", spread).select("user_id", "event_type", "index", "n")
+
+
+COLLECTED_SQL = oracle.sketch("seq_id, pos, ord")
+
+
+@query("collected_positions", f"SELECT seq_id, string_agg(pos, ',' ORDER BY ord) AS positions FROM ({COLLECTED_SQL}) GROUP BY seq_id")
+def collected_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = streams.collected(S.minimizers(21, 11).run(sequences(spark, sf_dir)))
+    return found.select("seq_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query("minimizer_positions", oracle.sketch())
+def minimizer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.minimizer_positions(sequences(spark, sf_dir), 21, 11)
+
+
+@query("canonical_minimizer_positions", oracle.sketch(canonical=True))
+def canonical_minimizer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.canonical_minimizer_positions(sequences(spark, sf_dir), 21, 11)
+
+
+RECORDS_SQL = f"WITH {oracle.dna()} SELECT CAST(seq_id AS VARCHAR) AS name, seq FROM seqs"
+
+
+@query("fasta_records", RECORDS_SQL)
+def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences written as FASTA and read back."""
+    path = shared_path(spark)
+    fasta.write_fasta(sequences(spark, sf_dir).select(F.col("seq_id").cast("string").alias("name"), "seq"), path)
+    return fasta.read_fasta(spark, path).select("name", "seq")
+
+
+@query("fastq_records", RECORDS_SQL)
+def fastq_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences written as FASTQ, with the quality that looks like a record's start, and read back."""
+    path = shared_path(spark)
+    fasta.write_fastq(sequences(spark, sf_dir).select(F.col("seq_id").cast("string").alias("name"), "seq"), path, quality="@")
+    return fasta.read_fastq(spark, path).select("name", "seq")
+
+
+@query("json_results", "SELECT l_linestatus AS experiment, l_returnflag AS name, CAST(l_orderkey AS BIGINT) AS n, CAST(l_linenumber AS BIGINT) AS k, CAST(l_partkey AS BIGINT) AS w, CAST(l_tax AS DOUBLE) AS time FROM lineitem")
+def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timing records written as JSON and read back."""
+    path = shared_path(spark)
+    names = {"l_linestatus": "experiment", "l_returnflag": "name", "l_orderkey": "n", "l_linenumber": "k", "l_partkey": "w", "l_tax": "time"}
+    generate.write_results(read_table(spark, sf_dir, "lineitem").select(*[F.col(a).alias(b) for a, b in names.items()]), path)
+    return generate.read_results(spark, path)
+
+
+@query("random_sequence_shapes", "SELECT * FROM (VALUES ('dna', 300, 100, 100, 0, 300, 4), ('text', 300, 100, 100, 0, 300, 95)) AS t(kind, n, least, most, n_foreign, n_distinct, n_letters)")
+def random_sequence_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for random sequences whatever the generator: lengths, letters, no repeats."""
+    found = None
+    for kind, letters in (("dna", "ACTG"), ("text", "".join(map(chr, range(32, 127))))):
+        rows = generate.random_sequences(spark, 300, 100, seed=7, letters=letters)
+        foreign = F.length(F.translate("seq", letters, ""))
+        used = F.size(F.array_distinct(F.flatten(F.collect_list(F.split("seq", "")))))
+        shape = rows.agg(
+            F.lit(kind).alias("kind"),
+            F.count("*").cast("int").alias("n"),
+            F.min(F.length("seq")).alias("least"),
+            F.max(F.length("seq")).alias("most"),
+            F.max(foreign).alias("n_foreign"),
+            F.countDistinct("seq").cast("int").alias("n_distinct"),
+            used.alias("n_letters"),
+        )
+        found = shape if found is None else found.union(shape)
+    return found
 
 
 @query("syncmers_from_windows", oracle.sketch(k=5, w=7, kind="open", columns="seq_id, pos AS win"))

@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.hashers import Hasher, nt_hash
+from seqloom.operators.streams import numbered
 from seqloom.plans import kernel, relational
 from seqloom.plans.kernel import Spec
-from seqloom.session import ship
+from seqloom.session import checkpointed, ship
 
 MAX_W = 1 << 15
 
@@ -180,18 +181,19 @@ class Sketch:
             *["value"] * self.want_values,
         )
         chunk = Window.partitionBy("seq_id", "own").orderBy("win")
-        along = Window.partitionBy("seq_id").orderBy("win")
         if self.select == "minimizer":
             before = F.lag("pos").over(chunk)
             placed = placed.withColumn("_b", before).where((F.col("win") >= F.col("own")) & (F.col("_b").isNull() | (F.col("_b") != F.col("pos"))))
         else:
             placed = placed.where(F.col("win") >= F.col("own"))
-        numbered = placed.withColumn("ord", F.row_number().over(along).cast("long") - 1)
+        # Rows of one sequence are numbered by range, not in one task; a super-k-mer meets the next one's start by number.
+        found = numbered(placed, ["seq_id"], ["win"]).withColumnRenamed("row", "ord")
         if self.want_super_kmers:
-            numbered = numbered.withColumn("sk_start", F.col("win")).withColumn(
-                "sk_end", F.coalesce(F.lead("win").over(along) + self.length - 1, F.col("n"))
-            )
-        return numbered.select("seq_id", *self.columns())
+            found = checkpointed(found)
+            after = found.select(F.col("seq_id").alias("_id"), (F.col("ord") - 1).alias("_ord"), (F.col("win") + self.length - 1).alias("_end"))
+            found = found.join(after, F.col("seq_id").eqNullSafe(F.col("_id")) & (F.col("ord") == F.col("_ord")), "left")
+            found = found.withColumn("sk_start", F.col("win")).withColumn("sk_end", F.coalesce("_end", "n"))
+        return found.select("seq_id", *self.columns())
 
 
 def minimizers(k: int, w: int, canonical: bool = False) -> Sketch:

@@ -10,38 +10,14 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.encode import CODES
 from seqloom.functions.hashers import Hasher
-from seqloom.operators.streams import adjacent_dedup
+from seqloom.operators.streams import adjacent_dedup, numbered
 from seqloom.plans import kernel
-from seqloom.session import checkpointed, ship
+from seqloom.session import ship
 
 #: Up to this width a frame is aggregated directly; wider ones come from block minima.
 DIRECT = 32
 
 
-def numbered(df: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
-    """``df`` with ``row`` (0-based place in its key) and ``size`` (rows of the key), without one task per key.
-
-    Rows are sorted by range, so a hot key lies in many partitions; each partition numbers its own, and
-    an offset per key and partition (a small table) makes the numbers run through.
-    """
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = df.repartitionByRange(parts, *partition, *order).sortWithinPartitions(*partition, *order)
-    kept = checkpointed(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
-    counts = kept.groupBy(*partition, "_p").agg(F.count("*").alias("_c"))
-    key = Window.partitionBy(*partition)
-    before = F.sum("_c").over(key.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(partition)],
-        F.col("_p").alias("_q"),
-        F.coalesce(before, F.lit(0)).alias("_o"),
-        F.sum("_c").over(key).alias("size"),
-    )
-    local = F.row_number().over(Window.partitionBy(*partition, "_p").orderBy("_i")).cast("long") - 1
-    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(partition)] + [F.col("_p") == F.col("_q")]
-    joined = kept.withColumn("_local", local).join(offsets, on)
-    return joined.withColumn("row", F.col("_local") + F.col("_o")).select(*df.columns, "row", "size")
-
-
 def _spread_min(df: DataFrame, partition: list[str], order: list[str], value: str, w: int, ties: str, partial: bool, spread: int) -> DataFrame:
     """Chunks of ``spread`` rows per key; a chunk also holds the ``w - 1`` rows that its windows reach over."""
     rows = numbered(df, partition, order)

@@ -116,8 +116,8 @@ def windows(letters: np.ndarray, spec: Spec) -> np.ndarray:
     return chosen
 
 
-def values(letters: np.ndarray, positions: np.ndarray, length: int, canonical: bool) -> list[int] | np.ndarray:
-    """2 bits a letter, the first lowest; canonical: the smaller of both strands."""
+def values(letters: np.ndarray, positions: np.ndarray, length: int, canonical: bool) -> np.ndarray:
+    """2 bits a letter, the first lowest; canonical: the smaller of both strands.  Over 31 letters: rows of the low and high 64 bits."""
 
     def words(step: int, flip: int) -> tuple[np.ndarray, np.ndarray]:
         found = [np.zeros(len(positions), np.uint64), np.zeros(len(positions), np.uint64)]
@@ -133,7 +133,7 @@ def values(letters: np.ndarray, positions: np.ndarray, length: int, canonical: b
         high, low = np.where(smaller, other_high, high), np.where(smaller, other_low, low)
     if length <= 31:
         return low.astype(np.int64)
-    return [(h << 64) | x for h, x in zip(high.tolist(), low.tolist(), strict=True)]
+    return np.stack([low, high], axis=1)
 
 
 def _pieces(lengths: np.ndarray, spec: Spec) -> Iterator[tuple[int, int, int]]:
@@ -249,12 +249,19 @@ def letters_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], lengths
 
 
-def arrow_value(found: list[int] | np.ndarray, length: int) -> pa.Array:
+def arrow_value(found: np.ndarray, length: int) -> pa.Array:
+    """Values as an Arrow array; wide ones are 128-bit integers already, up to 63 letters within 38 digits."""
     if length <= 31:
         return pa.array(found, pa.int64())
-    from decimal import Decimal
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(found), [None, pa.py_buffer(np.ascontiguousarray(found, "<u8"))])
 
-    return pa.array([Decimal(x) for x in found], pa.decimal128(38, 0))
+
+def strings_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The pieces ``data[start : start + length]`` as an array of strings."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
+    buffers = [None, pa.py_buffer(offsets.astype("<i8")), pa.py_buffer(data[at])]
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), buffers).cast(pa.string())
 
 
 def run_batches(batches: Iterator[pa.RecordBatch], spec: Spec, columns: list[str]) -> Iterator[pa.RecordBatch]:
@@ -268,9 +275,7 @@ def run_batches(batches: Iterator[pa.RecordBatch], spec: Spec, columns: list[str
             for c in columns:
                 source = "win" if c == "sk_start" else c
                 if c == "super_kmer":
-                    at = starts[out["row"]]
-                    spans = zip((at + out["win"]).tolist(), (at + out["sk_end"]).tolist(), strict=True)
-                    arrays.append(pa.array([data[a:b].tobytes() for a, b in spans], pa.binary()).cast(pa.string()))
+                    arrays.append(strings_of(data, starts[out["row"]] + out["win"], out["sk_end"] - out["win"]))
                     continue
                 arrays.append(arrow_value(out["value"], spec.value_length) if c == "value" else pa.array(out[source], pa.int64()))
             yield pa.record_batch(arrays, names=["seq_id", *columns])
@@ -290,7 +295,7 @@ def run_array_batches(batches: Iterator[pa.RecordBatch], spec: Spec, columns: li
         for c in columns:
             source = "win" if c == "sk_start" else c
             if c == "value" and spec.value_length > 31:
-                flat = arrow_value([v for p in parts for v in p["value"]], spec.value_length)
+                flat = arrow_value(np.concatenate([np.empty((0, 2), np.uint64), *(p["value"] for p in parts)]), spec.value_length)
             else:
                 flat = pa.array(np.concatenate([np.empty(0, np.int64), *(p[source] for p in parts)]), pa.int64())
             arrays.append(pa.ListArray.from_arrays(pa.array(offsets), flat))

@@ -95,15 +95,20 @@ def local_session(app: str = "seqloom", cpus: int = 8, memory: str = "12g") -> S
     )
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path below the shared checkpoint folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        checkpointed(spark.range(0))  # sets the folder
+    return f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+
+
 def write_shared(df: DataFrame) -> str:
     """Writes ``df`` as Parquet below the shared checkpoint folder; the path of the table.
 
     Smaller than a checkpoint for wide rows, and it can be removed when it has been used.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        checkpointed(df.sparkSession.range(0))  # sets the folder
-    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return path
 

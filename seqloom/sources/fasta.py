@@ -12,23 +12,29 @@ SCHEMA = "seq_id long, name string, seq string"
 
 
 def _numbered(records: DataFrame, limit: int | None) -> DataFrame:
-    if limit is not None:
-        records = records.limit(limit)
-    return records.select(F.monotonically_increasing_id().alias("seq_id"), "name", "seq")
+    found = records.select(F.monotonically_increasing_id().alias("seq_id"), "name", "seq")
+    return found if limit is None else found.orderBy("seq_id").limit(limit)
 
 
-def read_fasta(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """``seq_id, name, seq`` of each record; ``limit`` takes that many records.
-
-    Files are split at record starts, so a large file is read by many tasks.  A path that doesn't exist
-    gives an empty result and a warning.
-    """
+def _chunks(spark: SparkSession, path: str, separator: str) -> DataFrame | None:
+    """What lies between separators, from files that are split; None for a path that doesn't exist."""
     try:
-        text = spark.read.option("lineSep", "\n>").text(path)
+        return spark.read.option("lineSep", separator).text(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         logging.getLogger(__name__).warning("no such file: %s", path)
+        return None
+
+
+def read_fasta(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """``seq_id, name, seq`` of each record; ``limit`` takes the first ones.
+
+    Files are split at record starts, so a large file is read by many tasks.  A path that doesn't exist
+    gives an empty result and a warning.
+    """
+    text = _chunks(spark, path, "\n>")
+    if text is None:
         return spark.createDataFrame([], SCHEMA)
     record = F.regexp_replace("value", "^>", "")
     parts = text.select(F.split(record, "\r?\n", 2).alias("p")).where(F.length(F.trim(F.col("p")[0])) > 0)
@@ -37,23 +43,25 @@ def read_fasta(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 
 def read_fastq(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """``seq_id, name, seq`` of FASTQ records of four lines; a file is read as a whole."""
-    try:
-        text = spark.read.text(path, wholetext=True)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        logging.getLogger(__name__).warning("no such file: %s", path)
+    """``seq_id, name, seq`` of FASTQ records of four lines; ``limit`` takes the first ones.
+
+    Files are split where a line starts with ``@``, so a large one is read by many tasks.  Such a line is a
+    record's first, or a quality line, which alone follows its separator: what has no third line with ``+`` is no record.
+    """
+    text = _chunks(spark, path, "\n@")
+    if text is None:
         return spark.createDataFrame([], SCHEMA)
-    lines = text.select(F.split(F.rtrim("value"), "\r?\n").alias("lines")).where(F.size("lines") >= 4)
-    starts = F.sequence(F.lit(0), F.floor(F.size("lines") / 4).cast("int") - 1)
-    records = F.transform(
-        starts, lambda i: F.struct(F.get("lines", i * 4).alias("name"), F.trim(F.get("lines", i * 4 + 1)).alias("seq"))
-    )
-    each = lines.select(F.explode(records).alias("r"))
-    return _numbered(each.select(F.substring_index(F.regexp_replace("r.name", "^@", ""), " ", 1).alias("name"), F.col("r.seq").alias("seq")), limit)
+    parts = text.select(F.split("value", "\r?\n").alias("p")).where(F.get("p", F.lit(2)).startswith("+"))
+    name = F.substring_index(F.trim(F.regexp_replace(F.get("p", F.lit(0)), "^@", "")), " ", 1)
+    return _numbered(parts.select(name.alias("name"), F.trim(F.get("p", F.lit(1))).alias("seq")), limit)
 
 
 def write_fasta(sequences: DataFrame, path: str) -> None:
     """Records ``name, seq`` as FASTA text files."""
     sequences.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.text(path)
+
+
+def write_fastq(sequences: DataFrame, path: str, quality: str = "I") -> None:
+    """Records ``name, seq`` as FASTQ text files, with one quality for all letters."""
+    lines = F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit(quality), F.length("seq")))
+    sequences.select(lines.alias("value")).write.text(path)

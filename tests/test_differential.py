@@ -94,7 +94,9 @@ def test_wide_values():
     spec = Spec(40, 3, nt_hash(40), value_length=40)
     raw = CODES[np.frombuffer(seq.encode(), np.uint8)].tolist()
     for p, v in zip(positions(seq, spec), positions(seq, spec, "value"), strict=True):
-        assert v == sum(raw[p + j] << 2 * j for j in range(40))
+        assert v[0] | v[1] << 64 == sum(raw[p + j] << 2 * j for j in range(40))
+    wide = np.array([[3, 0], [1 << 63, 1], [(1 << 64) - 1, (1 << 62) - 1]], np.uint64)
+    assert [int(x) for x in kernel.arrow_value(wide, 63).to_pylist()] == [3, 3 << 63, (1 << 126) - 1]
 
 
 @pytest.mark.parametrize("k,w", [(1, 1), (2, 8), (5, 7), (21, 11)])

@@ -13,38 +13,25 @@ def stream(spark, values):
     return spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "g int, i int, v int")
 
 
-@pytest.mark.parametrize(
-    "values,kept,index",
-    [([0, 1, 2, 3], [0, 1, 2, 3], [0, 1, 2, 3]), ([0, 0, 1, 1, 2, 2], [0, 1, 2], [0, 2, 4]), ([], [], []), ([5, 5, 7, 5], [5, 7, 5], [0, 2, 3])],
-)
-def test_adjacent_dedup(spark, values, kept, index):
+def test_adjacent_dedup(spark):
+    rng = random.Random(11)
+    values = [rng.choice([1, 1, 1, 2, 3]) for _ in range(200)]
+    starts = [i for i, v in enumerate(values) if i == 0 or values[i - 1] != v]
     df = stream(spark, values)
-    assert [r["v"] for r in streams.adjacent_dedup(df, ["g"], ["i"], "v").orderBy("i").collect()] == kept
+    assert [(r["i"], r["v"]) for r in streams.adjacent_dedup(df, ["g"], ["i"], "v").orderBy("i").collect()] == [(i, values[i]) for i in starts]
     rows = streams.adjacent_dedup_with_index(df, ["g"], ["i"], "v").orderBy("i").collect()
-    assert [r["index"] for r in rows] == index
+    assert [r["index"] for r in rows] == starts
+    kept = streams.adjacent_dedup(df, ["g"], ["i"], "v", F.col("v") == 2).orderBy("i").collect()
+    assert [r["i"] for r in kept] == [i for i in starts if values[i] != 2]
+    assert streams.adjacent_dedup(df.limit(0), ["g"], ["i"], "v").count() == 0
 
 
-def test_dedup_skips_a_value(spark):
-    x = -1
-    df = stream(spark, [0, 1, 1, x, 2, 3, x, x, 4])
-    keep = lambda skip: [r["v"] for r in streams.adjacent_dedup(df, ["g"], ["i"], "v", skip).orderBy("i").collect()]
-    assert keep(None) == [0, 1, x, 2, 3, x, 4]
-    assert keep(F.col("v") == x) == [0, 1, 2, 3, 4]
-
-
-@pytest.mark.parametrize(
-    "kind,argmins,expected",
-    [
-        ("closed", range(10), list(range(10))),
-        ("closed", range(4, 14), list(range(10))),
-        ("closed", [1, 2, 5, 5, 5, 8, 7, 10, 10, 10], []),
-        ("open", range(2, 12), list(range(10))),
-        ("open", [0, 1, 6, 7, 7, 6, 6, 8, 11, 10], []),
-    ],
-)
-def test_filter_syncmers(spark, kind, argmins, expected):
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(argmins)], "win long, pos long")
-    assert sorted(r["win"] for r in streams.filter_syncmers(df, 5, kind).collect()) == expected
+@pytest.mark.parametrize("kind,places", [("closed", {0, 6}), ("open", {3})])
+def test_filter_syncmers(spark, kind, places):
+    rng = random.Random(12)
+    rows = [(i, i + rng.randrange(7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "win long, pos long")
+    assert sorted(r["win"] for r in streams.filter_syncmers(df, 7, kind).collect()) == [i for i, p in rows if p - i in places]
 
 
 @pytest.mark.parametrize("w", [1, 3, 33, 50])
@@ -156,3 +143,23 @@ def test_every_kmer_is_flagged_and_has_digits(spark):
     column = F.col("k")
     want = spark.createDataFrame(kmers, "i long, p long, k string").select("i", "p", encode.value_digits(column), encode.value_digits(column, True))
     assert got == {(r[0], r[1]): (r[2], r[3]) for r in want.collect()} and len(got) == 238
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_spread_runs_are_the_plain_ones(spark, size):
+    rng = random.Random(size)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.choice([1, 1, 2, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, v int").repartition(4)
+    key = lambda r: str(tuple(r))
+    for op in (streams.adjacent_dedup, streams.adjacent_dedup_with_index, streams.islands):
+        assert sorted(op(df, ["g"], ["i"], "v", spread=size).collect(), key=key) == sorted(op(df, ["g"], ["i"], "v").collect(), key=key)
+    skipped = [sorted(streams.adjacent_dedup(df, ["g"], ["i"], "v", F.col("v") == 2, spread=s).collect(), key=key) for s in (None, size)]
+    assert skipped[0] == skipped[1]
+
+
+def test_public_names():
+    import seqloom
+
+    assert seqloom.minimizers is S.minimizers and all(getattr(seqloom, n) is not None for n in seqloom.__all__)
+    with pytest.raises(AttributeError):
+        seqloom.no_such_name  # noqa: B018

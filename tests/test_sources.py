@@ -1,4 +1,5 @@
 import gzip
+import random
 
 from seqloom.functions import sql
 from seqloom.operators import sketch as S
@@ -27,6 +28,27 @@ def test_fastq(spark, tmp_path):
     rows = [(r["name"], r["seq"]) for r in fasta.read_fastq(spark, str(path)).orderBy("seq_id").collect()]
     assert rows == [("r1", "ACGT"), ("r2", "GG")]
     assert fasta.read_fastq(spark, str(tmp_path / "none.fq")).count() == 0
+    path.write_text("@r1\r\nACGT\r\n+r1\r\n@+@@\r\n@r2\r\n\r\n+\r\n\r\n@r3 y\r\nA\r\n+\r\n@\r\n@r4\r\nCC\r\n+\r\n+@")
+    rows = [(r["name"], r["seq"]) for r in fasta.read_fastq(spark, str(path)).orderBy("seq_id").collect()]
+    assert rows == [("r1", "ACGT"), ("r2", ""), ("r3", "A"), ("r4", "CC")]
+
+
+def test_fastq_is_split(spark, tmp_path):
+    rng = random.Random(3)
+    records = [(f"r{i}", "".join(rng.choices("ACGT", k=rng.randrange(1, 80)))) for i in range(3_000)]
+    text = "".join(f"@{n} x\n{s}\n+\n{''.join(rng.choices('@+I', k=len(s)))}\n" for n, s in records)
+    (tmp_path / "a.fq").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        found = fasta.read_fastq(spark, str(tmp_path / "a.fq"))
+        assert found.rdd.getNumPartitions() > 5
+        assert [(r["name"], r["seq"]) for r in found.orderBy("seq_id").collect()] == records
+        assert [(r["name"], r["seq"]) for r in fasta.read_fastq(spark, str(tmp_path / "a.fq"), limit=40).collect()] == records[:40]
+        fasta.write_fastq(found, str(tmp_path / "out"))
+        assert {(r["name"], r["seq"]) for r in fasta.read_fastq(spark, str(tmp_path / "out")).collect()} == set(records)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_random_sequences(spark):
