@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame
 
 from seqloom.session import ship
@@ -152,12 +153,17 @@ def pack(
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
-    ``ids`` holds little-endian unsigned 32-bit ids.
+    ``ids`` holds little-endian unsigned 32-bit ids.  The vocabulary files are sent to the workers, which need not have them.
     """
     ship(docs.sparkSession)
+    sent = []
+    for path in (vocabulary, ranks):
+        if path is not None:
+            docs.sparkSession.sparkContext.addFile(str(path))
+        sent.append(path and os.path.basename(str(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, ranks, pattern)
+        encode = encoder(*(name and SparkFiles.get(name) for name in sent), pattern)
         packer = Packer(TaskContext.get().partitionId() << 32, window, open_windows)
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
