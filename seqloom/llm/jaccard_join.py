@@ -393,7 +393,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         hashed = "_" + hashed
     groups = checkpointed(_classified(docs, SIMILARITY, SHINGLE).where("n_links > 0").select("doc_id", F.col("hash").alias(hashed), "root"))
     row = F.struct("doc_id", hashed)
-    first = groups.groupBy("root").agg(F.min(row).alias("first"))
+    first = checkpointed(groups.groupBy("root").agg(F.min(row).alias("first")))
     judged = groups.join(first, "root")
     others = judged.where(row != F.col("first")).select("doc_id", hashed).distinct()
     repeated = checkpointed(groups.groupBy("doc_id", hashed).count().where("count > 1").select("doc_id", hashed))
