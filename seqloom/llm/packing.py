@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from seqloom.session import ship
 WINDOW = 2048
 OPEN_WINDOWS = 16
 END_ID = 1
+#: White space of so many characters in a row is beyond the stack of the faster library.
+LONG_SPACE = 100_000
 #: Rows are handed on when they hold so many ids.
 FLUSH_IDS = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -47,12 +50,25 @@ ARROW = pa.schema(
 )
 
 
+def has_long_space(text: str) -> bool:
+    return len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in re.finditer(r"\s{2,}", text))
+
+
 @functools.cache
 def encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = None):
     """A function from a text to its ids in ``vocabulary`` (a file of the tokenizers library).
 
     With ``ranks`` and ``pattern``, the same vocabulary as byte-pair ranks, texts without
-    special tokens go through the faster tiktoken, which gives the same ids.
+    special tokens and without very long white space go through the faster tiktoken.  It gives the same ids:
+
+    * Both cut a text by the same pattern, and put every code point into the same class of it.
+    * Both join the neighbours of lowest rank first, the leftmost of equals.  One joins any neighbours
+      that make a token, the other only the pair listed for it.  Say they differ first where neighbours
+      A', B' make a token whose pair is A, B.  Nothing was joined across the ends of A'B', so the steps inside were
+      those of the token's bytes alone; these end in that token, by its only pair, so A'B' is that pair.
+
+    The tests check what this rests on: equal tables, each token listed once and after its parts, every
+    token's bytes giving that token, and the class of every code point.
     """
     from tokenizers import Tokenizer
 
@@ -71,7 +87,7 @@ def encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = Non
     quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merged, special_tokens={})
 
     def fast(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or has_long_space(text):
             return slow(text)
         return np.array(quick.encode_ordinary(text), dtype="<u4")
 

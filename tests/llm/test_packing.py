@@ -1,7 +1,11 @@
+import base64
+import json
 import random
 
 import numpy as np
 import pytest
+import tiktoken
+from tokenizers import Tokenizer
 
 from seqloom.llm import packing as P
 from seqloom.llm.queries import tokenizer_files
@@ -66,6 +70,74 @@ def test_encoders_agree():
         assert quick(t).tolist() == exact(t).tolist(), t
 
 
+def test_encoders_rest_on_equal_tables():
+    files = tokenizer_files()
+    with open(files["vocabulary"], encoding="utf-8") as f:
+        described = json.load(f)
+    model, split = described["model"], described["pre_tokenizer"]
+    assert model["type"] == "BPE" and described["normalizer"] is None and not model["dropout"] and not model["ignore_merges"]
+    assert split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+    with open(files["ranks"], "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    letters = byte_letters()
+    assert {"".join(letters[b] for b in token): r for token, r in ranks.items()} == model["vocab"]
+    pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    order = {a + b: i for i, (a, b) in enumerate(pairs)}
+    assert len(order) == len(pairs) and set(order) | set(letters) == set(model["vocab"])
+    assert [model["vocab"][a + b] for a, b in pairs] == sorted(model["vocab"][a + b] for a, b in pairs)
+    assert all(order.get(part, -1) < i for i, pair in enumerate(pairs) for part in pair)
+    place = {pair: i for i, pair in enumerate(pairs)}
+    for token in order:
+        assert joined(list(token), place) == [token]
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in the vocabulary's file: printable ones themselves, others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
+def joined(parts: list[str], place: dict) -> list[str]:
+    """Byte-pair encoding from its definition."""
+    while len(parts) > 1:
+        at = min(range(len(parts) - 1), key=lambda i: place.get((parts[i], parts[i + 1]), len(place)))
+        if (parts[at], parts[at + 1]) not in place:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def test_encoders_class_every_code_point_alike():
+    """A letter, a number or another sign joins one of its own class; what joins none is white space."""
+    files = tokenizer_files()
+    exact = Tokenizer.from_file(files["vocabulary"]).pre_tokenizer
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for first in "x1!":
+        # With a rank for every pair, a pair that is one piece is one id.
+        ranks = {bytes([b]): b for b in range(256)}
+        for c in points:
+            ranks.setdefault((first + c).encode(), len(ranks))
+        pairs = {r: token for token, r in ranks.items() if len(token) > 1}
+        quick = tiktoken.Encoding("pairs", pat_str=files["pattern"], mergeable_ranks=ranks, special_tokens={})
+        ids = quick.encode_ordinary("".join(first + c + "\n" for c in points))
+        found = {pairs[i].decode()[1] for i in ids if i in pairs}
+        expected = set()
+        for at in range(0, len(points), 1 << 16):
+            text = "".join(first + c + "\n" for c in points[at : at + (1 << 16)])
+            expected |= {text[a + 1] for _, (a, b) in exact.pre_tokenize_str(text) if b - a == 2 and text[a] == first}
+        assert found == expected and len(found) > 1000
+
+
+def test_long_white_space():
+    files = tokenizer_files()
+    quick, exact = P.encoder(**files), P.encoder(files["vocabulary"])
+    for n in (1000, P.LONG_SPACE - 1, P.LONG_SPACE, 1_200_000):
+        for text in ("a" + " " * n + "b", "\n " * (n // 2) + "1", "é " + "\u2003" * n):
+            assert np.array_equal(quick(text), exact(text))
+    assert P.has_long_space("\t" * P.LONG_SPACE) and not P.has_long_space("ab  " * P.LONG_SPACE)
+
+
 def test_query(spark):
     files = tokenizer_files()
     encode = P.encoder(files["vocabulary"])
