@@ -201,17 +201,17 @@ def sketch(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, spec: Spec
             ahead = chosen - np.arange(n_windows, dtype=np.uint32)
             keep = valid & ((ahead == spec.w // 2) if spec.select == "open" else (ahead == 0) | (ahead == spec.w - 1))
         win = np.flatnonzero(keep)
-        pos = chosen[win].astype(np.int64)
-        own = np.searchsorted(begins, win, "right") - 1
-        begin = begins[own]
-        sampled = win if spec.select in ("closed", "open") else pos
-        first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
-        index = np.arange(len(own))
+        sampled = win if spec.select in ("closed", "open") else chosen[win].astype(np.int64)
+        # Rows come in the order of their sequences: where each sequence's rows start says whose they are.
+        cuts = np.searchsorted(win, begins)
+        counts = np.diff(cuts, append=len(win))
+        begin = np.repeat(begins - offset, counts)
+        own = np.repeat(np.arange(len(sizes)), counts)
         out: dict[str, np.ndarray | list] = {
             "row": own + a,
-            "ord": index - np.maximum.accumulate(np.where(first, index, 0)) + known if len(own) else index,
-            "win": win - begin + offset,
-            "pos": sampled - begin + offset,
+            "ord": np.arange(len(win)) - np.repeat(cuts - known, counts),
+            "win": win - begin,
+            "pos": sampled - begin,
         }
         if end >= 0:
             carry = {a: (known + len(own), last)}
@@ -219,7 +219,7 @@ def sketch(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, spec: Spec
             out["value"] = values(letters, sampled, spec.value_length, spec.canonical)
         if spec.super_kmers:
             out["sk_end"] = np.r_[out["win"][1:] + spec.length - 1, 0] if len(own) else out["win"]
-            closing = np.r_[own[1:] != own[:-1], True] if len(own) else first
+            closing = np.diff(own, append=-1) != 0
             out["sk_end"] = np.where(closing, lengths[out["row"]], out["sk_end"])
             if pending is not None and len(own):
                 if end >= 0 and pending["row"][-1] == a:
