@@ -4,7 +4,8 @@ A page becomes a sequence of tokens: words and tags.  Words score positive and t
 how much is learned from labelled pages, those that mark their article themselves: the weight of
 a kind of token is the log-odds of meeting it inside rather than outside the article.
 Words in links are a kind of their own, and words in side content (elements, or whole class, id and role marks, of menus, adverts, comments, ...)
-count nothing: they are left out in any case, so only the tags around them matter.  A linear scan (Kadane's) finds the contiguous region of the highest total, and its
+count nothing: they are left out in any case, so only the tags around them matter.  A linear scan (Kadane's) finds the contiguous region of the highest total. Where it starts or ends inside an article
+element it is widened to what that article still has there (``widened``), whatever that scores. Its
 words, without those of marked side content, are the text.
 
 Training reads ``TRAIN_PAGES`` labelled pages, or all if there are fewer, drawn by a hash of their rows
@@ -255,8 +256,8 @@ def train(pages: DataFrame, bound: int = TRAIN_PAGES) -> dict[str, float]:
     return weights_from({(r["kind"], r["inside"]): r["n"] for r in totals}) if totals else {}
 
 
-def best_region(page: str, weights: dict[str, float], marks: bool) -> tuple[float, list[tuple[str, str, bool]], list[tuple[str, str, bool]]]:
-    """The highest total of a run of tokens, the run, and all tokens."""
+def best_region(page: str, weights: dict[str, float], marks: bool) -> tuple[float, tuple[int, int], list[tuple[str, str, bool]]]:
+    """The highest total of a run of tokens, its first token and the one after it, and all tokens."""
     total = best = 0.0
     start = 0
     region = (0, 0)
@@ -271,7 +272,33 @@ def best_region(page: str, weights: dict[str, float], marks: bool) -> tuple[floa
             best, region = total, (start, i + 1)
         elif total <= 0:
             total, start = 0.0, i + 1
-    return best, found[region[0] : region[1]], found
+    return best, region, found
+
+
+def widened(found: list[tuple[str, str, bool]], start: int, end: int) -> list[tuple[str, str, bool]]:
+    """``found[start:end]`` and what the article it starts or ends in still has on either side.
+
+    So a list, a link or an advert does not cut off the few words behind it. Each side ends with the block of its
+    outermost word that is no link: a list of links at the edge of an article is no part of it.
+    """
+
+    def edge(at: int, step: int) -> int:
+        """The last token to take, going from ``at``, which is taken."""
+        last, open_block = at, False
+        while 0 <= at < len(found) and found[at][2]:
+            kind, text, _ = found[at]
+            if kind == WORD and text.strip():
+                open_block = True
+            elif not text and kind.rpartition(" ")[2].lstrip("/") in BLOCKS:
+                open_block = False
+            if open_block:
+                last = at
+            at += step
+        return last
+
+    if start == end:
+        return []
+    return found[edge(start, -1) : edge(end - 1, 1) + 1]
 
 
 def joined(region: list[tuple[str, str, bool]]) -> str:
@@ -297,14 +324,14 @@ def extract_text(page: str, weights: dict[str, float]) -> str:
     gives a region that scores ``FAR`` times higher, in an article if the page has one, or if there is no text else.
     """
     best, region, found = best_region(page, weights, True)
-    text = joined(region)
+    text = joined(widened(found, *region))
     n_side = sum(len(t.split()) for kind, t, _ in found if kind == SIDE_WORD)
     # Without side words the totals differ by tags only; no reading scores more than all its words do.
     if n_side and (not text or max(weight_of(WORD, weights), 0.0) * (n_side + sum(len(t.split()) for k, t, _ in found if k == WORD)) > FAR * best):
         labelled = any(inside for _, _, inside in found)
-        other, run, _ = best_region(page, weights, False)
-        if not text or other > FAR * best and (not labelled or all(inside for _, t, inside in run if t)):
-            return joined(run)
+        other, (start, end), found = best_region(page, weights, False)
+        if not text or other > FAR * best and (not labelled or all(inside for _, t, inside in found[start:end] if t)):
+            return joined(widened(found, start, end))
     return text
 
 

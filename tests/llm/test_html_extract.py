@@ -215,6 +215,25 @@ def test_several_articles():
     assert H.extract_text(two.format(""), {"/article": -0.1, "article": -0.1}) == "aa bb cc\ndd ee"
 
 
+def test_an_article_is_whole():
+    """Tags that labelled pages have only outside articles cut nothing off; lists of links at an article's edge go."""
+    weights = {H.WORD: 1.0, **{k: -12.0 for k in ("ul", "/ul", "li", "/li", "a", "/a", "side div", "side /div", "article", "/article")}}
+    text = "many words " * 40
+    menu = "<ul><li><a href=x>Home</a></li></ul>"
+    around = "<nav>" + menu + "</nav>{}<footer>end</footer>" + menu
+    cases = {
+        f"<article><h1>T</h1><p>first <a>link</a></p>{menu}<p>{text}</p></article>": f"T\nfirst link\nHome\n{text.strip()}",
+        f"<article><p>{text}</p><ul><li>one</li><li>two <a>three</a></li></ul><p>x</p>{menu}</article>": f"{text.strip()}\none\ntwo three\nx",
+        f"<article><p>{text}</p><div class=ad>buy</div><p>tail</p><div class=comments><p>nice</p></div></article>": f"{text.strip()}\ntail",
+        f"<main>{menu}<article><p>{text}</p></article><p>after</p></main>": text.strip(),
+        "<article><ul><li></li></ul></article>": "",
+        f"<p>{text}</p>{menu}<p>tail</p>": text.strip(),
+    }
+    for inner, want in cases.items():
+        got = H.extract_text(around.format(inner), weights)
+        assert got == want, (inner, got)
+
+
 LONG = [
     "<a " * 100_000, "<!" * 100_000, "<a " * 100_000 + ">", "<div>" * 50_000 + "</span>" * 50_000, "<article>" * 50_000, "<svg>" * 30_000 + "</svg>",
     "<svg><article>" * 30_000 + "</svg>" * 30_000, "<a x='" * 50_000, "<!--" * 50_000, "<script>" * 50_000, "<div class=ad>" * 30_000 + "</div>" * 30_000, "<p>&" * 50_000,
