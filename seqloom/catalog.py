@@ -246,6 +246,12 @@ def column_hash_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sliding.hashed_minimizers(sequences(spark, sf_dir), 5, 7, F.md5)
 
 
+@query("xxhash64_minimizers")
+def xxhash64_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimizers by a 64-bit hash that doesn't roll, compared as signed numbers; SQL has no such hash."""
+    return sliding.hashed_minimizers(sequences(spark, sf_dir), 21, 11, F.xxhash64)
+
+
 DIGITS = "translate(reverse({s}), 'ACTG', '0123')"
 
 

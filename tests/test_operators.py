@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from seqloom.functions import encode
@@ -163,3 +164,21 @@ def test_public_names():
     assert seqloom.minimizers is S.minimizers and all(getattr(seqloom, n) is not None for n in seqloom.__all__)
     with pytest.raises(AttributeError):
         seqloom.no_such_name  # noqa: B018
+
+
+def test_column_hash_is_the_hash_of_each_kmer(spark):
+    def signed(kmer):
+        h = xxhash.xxh64_intdigest(kmer.encode(), seed=42)
+        return h - (1 << 64) if h >> 63 else h
+
+    rng = random.Random(11)
+    seqs = ["".join(rng.choices("ACGT", k=n)) for n in (0, 10, 11, 12, 60, 300)] + ["A" * 40]
+    k, w = 5, 7
+    want = set()
+    for i, s in enumerate(seqs):
+        h = [signed(s[j : j + k]) for j in range(len(s) - k + 1)]
+        best = [min(range(j, j + w), key=lambda x: (h[x], x)) for j in range(len(h) - w + 1)]
+        want |= {(i, n, p) for n, p in enumerate(p for j, p in enumerate(best) if not j or best[j - 1] != p)}
+    df = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
+    got = sliding.hashed_minimizers(df, k, w, F.xxhash64).select("seq_id", "ord", "pos").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
