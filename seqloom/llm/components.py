@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.session import checkpointed, forget
+from seqloom.session import checkpointed, forget, without_shuffle_files
 
 MAX_ROUNDS = 60
 #: A node with more than this part of all edges is joined by broadcast; there are at most so many such nodes.
@@ -58,5 +58,6 @@ def _state(pairs: DataFrame) -> tuple[bool, int]:
     )
     nodes = seen.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
     odd = (F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))
-    found = nodes.agg(F.max(odd).alias("odd"), F.sum("up").alias("n")).first()
+    with without_shuffle_files(pairs.sparkSession):
+        found = nodes.agg(F.max(odd).alias("odd"), F.sum("up").alias("n")).first()
     return not found["odd"], found["n"] or 0

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.components import components
 from seqloom.llm.substring_dedup import by_group
 from seqloom.llm.words import BASES, Roller, WordHashes, mix, split_words
-from seqloom.session import checkpointed, forget, ship
+from seqloom.session import checkpointed, forget, ship, without_shuffle_files
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -286,7 +286,8 @@ def _compared(docs: DataFrame, nodes: DataFrame, similarity: float, shingle: int
     sizes = found.groupBy("root").agg(F.count("*").alias("size")).join(in_buckets, "root")
     sizes = checkpointed(sizes.withColumn("sparse", sparse(F.col("pairs"), F.col("size"))))
     sent = F.col("size") * F.ceil(F.col("size") / BLOCK)
-    total = sizes.agg(F.max("sparse").alias("sparse"), F.sum(sent).alias("rows")).first()
+    with without_shuffle_files(spark):
+        total = sizes.agg(F.max("sparse").alias("sparse"), F.sum(sent).alias("rows")).first()
     least_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     parts = min(max(least_parts, (total["rows"] or 0) // PARTITION_ROWS), max(least_parts, MOST_PARTITIONS))
 

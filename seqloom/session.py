@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +35,34 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's switch for removing a query's shuffle files as it ends; it counts for frames made while it is on.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run inside leave no shuffle files on the executors.
+
+    Otherwise they stay until the driver happens to collect its garbage; over many rounds
+    of small queries that is most of the disk.  A frame made inside should not be run twice.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as files that every executor can read.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``.  A
     machine-local folder is made only where that is unset and Spark runs in local
-    mode (tests); on a cluster a missing setting is an error.
+    mode (tests); on a cluster a missing setting is an error.  Shuffle files of the computation go as it ends.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -49,7 +73,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             shared = tempfile.mkdtemp(prefix="seqloom-checkpoint-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    with without_shuffle_files(spark):
+        return df.select("*").checkpoint(eager=True)  # a new frame, since df was made outside
 
 
 def forget(*used: DataFrame) -> None:
@@ -109,7 +134,8 @@ def write_shared(df: DataFrame) -> str:
     Smaller than a checkpoint for wide rows, and it can be removed when it has been used.
     """
     path = shared_path(df.sparkSession)
-    df.write.parquet(path)
+    with without_shuffle_files(df.sparkSession):
+        df.write.parquet(path)
     return path
 
 

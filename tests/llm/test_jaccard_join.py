@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.llm import components as K
 from seqloom.llm import jaccard_join as J
 from seqloom.llm.words import split_words
+from tests.test_session import left_behind, shuffle_files
 
 SCHEMA = "doc_id long, text string, class_id long, n_links string"
 
@@ -128,6 +129,14 @@ def test_keep_one_of_repeated_rows_and_ids(spark):
     assert classes == sorted({(1, 1, 4), (2, 1, 4), (3, 3, 1), (5, 3, 1), (5, 5, 2), (7, 5, 2), (None, None, 1), (8, 8, 1), (9, 9, 1)}, key=str)
 
 
+def test_rounds_leave_no_shuffle_files(spark):
+    df = spark.createDataFrame(corpus(random.Random(9), 80), SCHEMA)
+    before = shuffle_files(spark)
+    frames = J.keep_one(df), J.near_duplicates(df)
+    assert left_behind(spark, before) == set()
+    assert [f.count() > 0 for f in frames] == [True, True]
+
+
 def test_pruning_loses_nothing_at_the_threshold():
     rng = random.Random(3)
     least = J.least_agreement()
