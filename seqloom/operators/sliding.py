@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.encode import CODES
 from seqloom.functions.hashers import Hasher
 from seqloom.operators.streams import adjacent_dedup, numbered
-from seqloom.plans import kernel
+from seqloom.plans import arrays, kernel
 from seqloom.session import ship
 
 #: Up to this width a frame is aggregated directly; wider ones come from block minima.
@@ -75,6 +76,47 @@ def sliding_min(
 
 def hashed_minimizers(df: DataFrame, k: int, w: int, hash: Callable[[Column], Column]) -> DataFrame:
     """``seq_id, ord, pos``: leftmost minimizers under any hash of the k-mer string that is a Column expression."""
+    if k < 1 or w < 1:
+        raise ValueError("needs k >= 1 and w >= 1")
+    try:
+        return _hashed_by_pieces(df, k, w, hash)
+    except AnalysisException as e:
+        if e.getCondition() != "UNSUPPORTED_FEATURE.LAMBDA_FUNCTION_WITH_PYTHON_UDF":
+            raise
+    return _hashed_by_rows(df, k, w, hash)
+
+
+def _hashed_by_pieces(df: DataFrame, k: int, w: int, hash: Callable[[Column], Column]) -> DataFrame:
+    """Array expressions over pieces of each sequence, without a shuffle."""
+    length, kind = k + w - 1, df.schema["seq"].dataType
+    narrow = F.octet_length("seq") == F.length("seq")
+
+    def positions(piece: Column, narrow: Column, start: Column) -> Column:
+        # Substrings of bytes don't read the letters before them.
+        def kmer(i: Column) -> Column:
+            return F.when(narrow, F.substring(piece, i + 1, F.lit(k)).cast(kind)).otherwise(F.substring(piece.cast(kind), i + 1, F.lit(k)))
+
+        last = F.when(narrow, F.length(piece)).otherwise(F.length(piece.cast(kind))) - k
+        return arrays.let(F.transform(F.sequence(F.lit(0), last), lambda i: hash(kmer(i))), lambda hashes: sampled(hashes, start))
+
+    def sampled(hashes: Column, start: Column) -> Column:
+        # Places of hashes are compared by their hashes; that of a null is null, and never wins.
+        def left(a: Column, b: Column) -> Column:
+            return F.coalesce(F.when(F.get(hashes, b) < F.get(hashes, a), b).otherwise(a), b)
+
+        places = F.transform(hashes, lambda h, i: F.when(h.isNotNull(), i))
+        complete = F.slice(arrays.extremes(places, w, left), 1, F.size(hashes) - w + 1)
+        return F.transform(arrays.fresh(complete, start, lambda x: x), lambda x: x + arrays.before(start))
+
+    def pieces(narrow: Column) -> Column:
+        return F.flatten(F.transform(arrays.starts(F.length("seq"), length), lambda a: arrays.let(arrays.cut(F.col("seq"), narrow, a, length), lambda p: positions(p, narrow, a))))
+
+    rows = df.where(F.length("seq") >= length).select("seq_id", F.posexplode(arrays.let(narrow, pieces)).alias("ord", "pos"))
+    return rows.select("seq_id", F.col("ord").cast("long"), F.col("pos").cast("long"))
+
+
+def _hashed_by_rows(df: DataFrame, k: int, w: int, hash: Callable[[Column], Column]) -> DataFrame:
+    """The same with a row per k-mer, for hashes that no array expression can hold (Python functions)."""
     kmers = F.transform(F.sequence(F.lit(0), F.length("seq") - k), lambda i: F.col("seq").substr(i + 1, F.lit(k)))
     rows = df.where(F.length("seq") >= k + w - 1).select("seq_id", F.posexplode(kmers).alias("i", "kmer"))
     windows = sliding_min(rows.select("seq_id", "i", hash(F.col("kmer")).alias("h")), ["seq_id"], ["i"], "h", w)

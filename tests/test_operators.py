@@ -182,3 +182,22 @@ def test_column_hash_is_the_hash_of_each_kmer(spark):
     df = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
     got = sliding.hashed_minimizers(df, k, w, F.xxhash64).select("seq_id", "ord", "pos").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_column_hash_takes_sequences_in_pieces(spark):
+    rng = random.Random(12)
+    sizes = (0, 10, 11, 12, 60, 1033, 1034, 1035, 1036, 2058, 2059, 3000)
+    seqs = [*("".join(rng.choices("ACGT", k=n)) for n in sizes), "A" * 2500, "".join(rng.choices("ACGTé😀", k=2500)), None]
+    df = spark.createDataFrame(list(enumerate(seqs)), "seq_id long, seq string")
+    for hash in (F.xxhash64, F.md5, lambda c: F.when(F.xxhash64(c) % 3 > 0, F.xxhash64(c) % 5)):
+        found = sliding.hashed_minimizers(df, 5, 7, hash)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, sliding._hashed_by_rows(df, 5, 7, hash).collect()), key=str)
+    python = F.udf(lambda kmer: kmer[::-1])
+    assert sorted(sliding.hashed_minimizers(df, 5, 7, python).collect()) == sorted(sliding.hashed_minimizers(df, 5, 7, F.reverse).collect())
+
+
+def test_column_hash_shuffles_and_sorts_nothing(spark):
+    df = spark.range(3).select(F.col("id").alias("seq_id"), F.repeat(F.lit("ACGT"), 20).alias("seq"))
+    for hash in (F.xxhash64, F.md5):
+        plan = sliding.hashed_minimizers(df, 5, 7, hash)._jdf.queryExecution().executedPlan().toString()
+        assert not any(step in plan for step in ("Exchange", "Sort", "Window"))
